@@ -30,6 +30,12 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents")).withColumn("length", F.col("length").cast("long"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
