@@ -129,13 +129,11 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int, small: int = 32)
     return order[moved], order[label[moved]]
 
 
-def trie_join(prints: DataFrame, budget: int = 4, split_at: int = 1024) -> DataFrame:
-    """(rep long, fp long), fp distinct -> (u, v): links that span every class of fingerprints within the budget.
+def block_keys(prints: DataFrame, budget: int, split_at: int = 1024) -> DataFrame:
+    """(rep, fp) -> (rep, fp, key): a row per bit block of the fingerprint; two within the budget share a key.
 
-    No pair within the budget is lost to its class: it shares a block, and the trie of that block joins it or finds both
-    ends in one class already. At most one link comes out for each member of a sub-trie.
+    Blocks with more than ``split_at`` fingerprints are keyed again by the blocks of their remaining bits.
     """
-    spark = prints.sparkSession
     parts = budget + 1
     tops = _blocks(list(range(BITS)), parts)
 
@@ -150,7 +148,15 @@ def trie_join(prints: DataFrame, budget: int = 4, split_at: int = 1024) -> DataF
     for i, bits in enumerate(tops):
         rest = _blocks([b for b in range(BITS) if b not in bits], parts)
         split_key = F.when(F.col("block") == i, F.array(*[F.struct(F.lit(j).alias("sub"), masked(sub).alias("sub_value")) for j, sub in enumerate(rest)])).otherwise(split_key)
-    keyed = keyed.select("rep", "fp", "block", "value", F.explode(F.when(F.col("hot"), split_key).otherwise(cold_key)).alias("s")).select("rep", "fp", F.xxhash64("block", "value", "s.sub", "s.sub_value").alias("key"))
+    return keyed.select("rep", "fp", "block", "value", F.explode(F.when(F.col("hot"), split_key).otherwise(cold_key)).alias("s")).select("rep", "fp", F.xxhash64("block", "value", "s.sub", "s.sub_value").alias("key"))
+
+
+def trie_join(prints: DataFrame, budget: int = 4, split_at: int = 1024) -> DataFrame:
+    """(rep long, fp long), fp distinct -> (u, v): links that span every class of fingerprints within the budget.
+
+    No pair within the budget is lost to its class: it shares a block, and the trie of that block joins it or finds both
+    ends in one class already. At most one link comes out for each member of a sub-trie.
+    """
 
     def run(batches):
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
@@ -159,7 +165,7 @@ def trie_join(prints: DataFrame, budget: int = 4, split_at: int = 1024) -> DataF
             a, b = trie_links(key, fp.view(np.uint64), budget)
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["u", "v"])
 
-    return keyed.repartition(shuffle_width(spark), "key").mapInArrow(run, "u long, v long")
+    return block_keys(prints, budget, split_at).repartition(shuffle_width(prints.sparkSession), "key").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
