@@ -6,8 +6,9 @@ occurrences. So only suffixes at anchors are sorted, and each stands for the str
 first ``gram`` bytes, and every further pass takes a quarter of the open range of starts, whose common core is a longer
 digit. A group of one drops out; a range is settled at once where even its hull (the union of its strings) is repeated,
 and one witness of such a hull stays for the ranges that share only a part of it.
-After the last pass the digit is the whole string, so equal groups are exactly the repeated windows. Groups are only
-counted (with map-side combine), never gathered, so a passage that a third of all documents share is no larger task.
+After the last pass the digit is the whole string, so equal groups are exactly the repeated windows. In the passes groups
+are only counted (with map-side combine), never gathered, so a passage that a third of all documents share is no larger
+task. Groups of at most ``GATHERED`` suffixes after pass 0 take a shorter way to the same end: a task sorts their strings.
 
 Cases: null counts as empty; texts shorter than ``length`` have no strings; a repeat within one document counts. An
 ``id`` identifies a document: rows are told apart by it, and rows with a null id are left out.
@@ -23,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import discard, shuffle_width, stored
 
 _MIX = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Most suffixes of a group that one task sorts; larger groups go through the passes.
+GATHERED = 512
 #: Texts are hashed in pieces of this many bytes, which overlap by a window; memory doesn't grow with the text.
 PIECE = 1 << 20
 
@@ -102,35 +105,89 @@ def _suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, at int, first short, last short, core long, hull long")
 
 
-def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows whose core occurs elsewhere: (those whose hull does too, the rest with one witness of each hull they may meet)."""
-    cores = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    alive = stored(rows.join(cores, "core"), "alive")
-    hulls = alive.groupBy("core", "first", "last", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("witness"))
+def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows whose core occurs elsewhere: (those whose hull does too, the rest with one witness of each hull they may
+    meet and the size ``n`` of the group, the table behind both)."""
+    cores = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    alive = stored(rows.drop("n").join(cores, "core"), "alive")
+    hulls = alive.groupBy("core", "first", "last", "hull").agg(F.count("*").alias("same"), F.min(F.struct("doc", "at")).alias("witness"))
     told = stored(alive.join(hulls, ["core", "first", "last", "hull"]), "told")
-    settled, rest = told.where("n > 1"), told.where("n = 1")
+    discard(alive)
+    settled, rest = told.where("same > 1"), told.where("same = 1")
     witnesses = settled.where("doc = witness.doc and at = witness.at").join(rest.select("core").distinct(), "core", "left_semi")
-    return settled, rest.unionByName(witnesses)
+    return settled, rest.unionByName(witnesses), told
 
 
 def _contexts(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """(doc, at, first, last, context): the open suffixes with the bytes of their hulls."""
-    wanted = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "first", "last"))).alias("open"))
+    """(core, doc, at, first, last, context, n): the open suffixes with the bytes of their hulls."""
+    wanted = rows.groupBy("doc").agg(F.collect_list(F.struct("core", "at", "first", "last", "n")).alias("open"))
+    kinds = {"core": pa.int64(), "at": pa.int32(), "first": pa.int16(), "last": pa.int16(), "n": pa.int64()}
 
     def run(batches):
         for b in batches:
             for doc, text, ranges in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([doc] * len(ranges), pa.int64()),
-                        *(pa.array([r[k] for r in ranges], t) for k, t in (("at", pa.int32()), ("first", pa.int16()), ("last", pa.int16()))),
-                        pa.array([data[r["at"] - r["last"] : r["at"] - r["first"] + length] for r in ranges], pa.binary()),
-                    ],
-                    ["doc", "at", "first", "last", "context"],
-                )
+                cols = {k: pa.array([r[k] for r in ranges], t) for k, t in kinds.items()}
+                cols |= {"doc": pa.array([doc] * len(ranges), pa.int64()), "context": pa.array([data[r["at"] - r["last"] : r["at"] - r["first"] + length] for r in ranges], pa.binary())}
+                names = ["core", "doc", "at", "first", "last", "context", "n"]
+                yield pa.RecordBatch.from_arrays([cols[k] for k in names], names)
+
+    return docs.join(wanted, "doc").select("doc", "text", "open").mapInArrow(run, "core long, doc long, at int, first short, last short, context binary, n long")
+
+
+def sorted_spans(group: list[tuple], length: int, slack: int) -> list[tuple[int, int, int]]:
+    """(doc, start, stop) of the strings that occur twice or more among suffixes (doc, at, first, last, context).
+
+    Column k of the table below is the digest of the string that starts k bytes before the anchor; columns are sorted.
+    """
+    m = len(group)
+    data = np.zeros((m, slack + length), np.uint8)
+    for i, (_, _, _, last, context) in enumerate(group):
+        data[i, slack - last : slack - last + len(context)] = np.frombuffer(context, np.uint8)
+    sums = np.zeros((m, slack + length + 1), np.uint64)
+    np.cumsum(_MIX[data] * _powers(slack + length)[0][: slack + length], axis=1, out=sums[:, 1:])
+    h = (sums[:, length:] - sums[:, : slack + 1])[:, ::-1]
+    k = np.arange(slack + 1)
+    real = (k >= np.array([[g[2]] for g in group])) & (k <= np.array([[g[3]] for g in group]))
+    h = np.where(real, h, np.arange(m, dtype=np.uint64)[:, None])
+    order = np.argsort(h, axis=0)
+    ranked = np.take_along_axis(h, order, 0)
+    equal = ranked[1:] == ranked[:-1]
+    twice = np.zeros((m, slack + 1), np.int8)
+    twice[1:] |= equal
+    twice[:-1] |= equal
+    hit = np.zeros((m, slack + 3), np.int8)
+    np.put_along_axis(hit[:, 1:-1], order, twice, 0)
+    edge = np.diff(hit, axis=1)
+    who, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    return [(group[i][0], group[i][1] - z + 1, group[i][1] - a + length) for i, a, z in zip(who.tolist(), begin.tolist(), end.tolist(), strict=True)]
+
+
+def _gathered(contexts: DataFrame, length: int, slack: int) -> DataFrame:
+    """(doc, start, stop) of the repeated strings of the groups that one task may sort; a group at a time."""
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc", "start", "stop"])
 
-    return docs.join(wanted, "doc").select("doc", "text", "open").mapInArrow(run, "doc long, at int, first short, last short, context binary")
+    def run(batches):
+        core, group, out = None, [], []
+        for b in batches:
+            for c, *row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if c != core:
+                    if len(group) > 1:
+                        out += sorted_spans(group, length, slack)
+                    core, group = c, []
+                group.append(row)
+            if len(out) > 10_000:
+                yield batch(out)
+                out = []
+        if len(group) > 1:
+            out += sorted_spans(group, length, slack)
+        yield batch(out)
+
+    dealt = contexts.select("core", "doc", "at", "first", "last", "context").repartition(shuffle_width(contexts.sparkSession), "core").sortWithinPartitions("core")
+    return dealt.mapInArrow(run, "doc long, start int, stop int")
 
 
 def _divided(rows: DataFrame, length: int, width: int) -> DataFrame:
@@ -154,28 +211,36 @@ def _divided(rows: DataFrame, length: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, at int, first short, last short, core long, hull long, context binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, gathered: int = GATHERED) -> DataFrame:
     """(doc, text), doc unique -> (doc, spans array<struct<start int, stop int>>): the strings found elsewhere, as hulls."""
-    settled, rest = _repeated(stored(_suffixes(docs, length, gram), "suffixes"))
+    slack = length - gram
+    suffixes = stored(_suffixes(docs, length, gram), "suffixes")
+    settled, rest, told = _repeated(suffixes)
+    discard(suffixes)
     shape = ["doc", (F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + length).alias("stop")]
-    spans = settled.select(*shape)
-    width = 4 ** int(math.log(length - gram, 4))
-    rest = stored(_contexts(docs, rest, length), "open")
-    while True:
-        parts = stored(_divided(rest, length, width), "parts")
-        settled, rest = _repeated(parts)
+    spans, done = settled.select(*shape), [told]
+    contexts = stored(_contexts(docs, rest, length), "contexts")
+    spans = spans.unionByName(_gathered(contexts.where(F.col("n") <= gathered), length, slack))
+    width = 4 ** int(math.log(slack, 4)) if slack else 1
+    rest = contexts.where(F.col("n") > gathered)
+    while not rest.isEmpty():
+        parts = stored(_divided(rest.select("doc", "at", "first", "last", "context"), length, width), "parts")
+        settled, rest, told = _repeated(parts)
+        discard(parts)
+        done.append(told)
         spans = spans.unionByName(settled.select(*shape))
         if width == 1:
             break
         width //= 4
-        rest = rest.select("doc", "at", "first", "last", "context")
-    return spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    out = stored(spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+    discard(contexts, *done)
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, gathered: int = GATHERED) -> DataFrame:
     """Per document: (doc, n_bytes, removed array<struct<start, stop>> of maximal runs, kept binary)."""
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    spans = stored(repeated_spans(named, length, gram), "spans")
+    spans = repeated_spans(named, length, gram, gathered)
 
     def run(batches):
         for b in batches:
