@@ -15,6 +15,15 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.chat import as_events, audit, fold, format_chats
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return audit(format_chats(fold(as_events(rows)))).withColumnRenamed("conv", "conv_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.toxicity import held_out, learn, tag
 
