@@ -19,9 +19,11 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -306,6 +308,17 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double, spans array<struct<start:int,stop:int,p:double>>")
 
 
+def scored(docs: DataFrame, model: Field, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with the score of each text as a further column ``name``."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict = {}
+        for t in texts:
+            yield pd.Series([score_text(model, x, known)[0] for x in t], dtype=float)
+
+    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text_col).cast("string")))
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows kept from learning: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
