@@ -108,11 +108,12 @@ def _suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of rows whose core occurs elsewhere: (those whose hull does too, the rest with one witness of each hull they may
     meet and the size ``n`` of the group, the table behind both)."""
-    cores = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    # the counts are stored before they are joined: only then can a frequent core's rows be split over tasks
+    cores = stored(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "cores")
     alive = stored(rows.drop("n").join(cores, "core"), "alive")
-    hulls = alive.groupBy("core", "first", "last", "hull").agg(F.count("*").alias("same"), F.min(F.struct("doc", "at")).alias("witness"))
+    hulls = stored(alive.groupBy("core", "first", "last", "hull").agg(F.count("*").alias("same"), F.min(F.struct("doc", "at")).alias("witness")), "hulls")
     told = stored(alive.join(hulls, ["core", "first", "last", "hull"]), "told")
-    discard(alive)
+    discard(cores, alive, hulls)
     settled, rest = told.where("same > 1"), told.where("same = 1")
     witnesses = settled.where("doc = witness.doc and at = witness.at").join(rest.select("core").distinct(), "core", "left_semi")
     return settled, rest.unionByName(witnesses), told
