@@ -34,11 +34,21 @@ def test_clusters_and_edges(spark, monkeypatch):
     rows += [(300 + i, rows[0][1], 0) for i in range(20)]
     rows += [(400, None, 1), (401, [0.0] * 8, 1), (402, [float("nan")] * 8, 1), (403, [None] * 8, 1), (404, rows[0][1], None), (405, [1.0], 1), (406, [2.0], 1), (407, [], 1)]
     df = spark.createDataFrame([(i, v, lab, 1) for i, v, lab in rows], "vec_id long, embedding array<float>, label int, n int")
-    got = {r.id: (r.n_links, r.component) for r in neighbours.link_vectors(df, codes=4).collect()}
+    got = {r.id: (r.n_links, r.component) for r in neighbours.link_vectors(df, reach=1.0, codes=4).collect()}
     assert got == expected(rows)
     assert neighbours.link_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_at_the_default_reach(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(150, 64))
+    rows = [(i, (centres[i % 150] + rng.normal(size=64) * 0.1).astype(np.float32).tolist(), 1) for i in range(900)]
+    got = {r.id: r.n_links for r in neighbours.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), codes=12).collect()}
+    wanted = expected(rows)
+    assert all(got[i] <= wanted[i][0] for i in got)
+    assert sum(got.values()) >= 0.99 * sum(n for n, _ in wanted.values()) > 0
+
+
 def test_bounds_never_lose_a_cell():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 6))
