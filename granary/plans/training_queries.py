@@ -39,7 +39,12 @@ def _masked(s, d):
     return x.select("l_orderkey", "l_linenumber", "masked")
 
 
-R_W, R_L = F.col("l_extendedprice") / 10000, F.col("l_quantity") / 10
+
+def _preference_loss(s, d):
+    w, r = F.col("l_extendedprice") / 10000, F.col("l_quantity") / 10
+    loss = lambda hinge: F.round(F.avg(training.preference_loss(w, r, F.lit(0.1), 3.0, hinge)), 6)
+    return load(s, "lineitem", d).groupBy("l_linestatus").agg(loss(False).alias("logistic"), loss(True).alias("hinge"))
+
 
 QUERIES: dict[str, Query] = {
     "masked_loss": (
@@ -51,7 +56,7 @@ QUERIES: dict[str, Query] = {
         f"SELECT row, round(avg(e), 9) AS elbo FROM (SELECT row, draw, -sum(nll / p) / 8 AS e FROM {TOKENS} GROUP BY ALL) GROUP BY row",
     ),
     "preference_loss": (
-        lambda s, d: load(s, "lineitem", d).groupBy("l_linestatus").agg(F.round(F.avg(training.preference_loss(R_W, R_L, F.lit(0.1), 3.0)), 6).alias("logistic"), F.round(F.avg(training.preference_loss(R_W, R_L, F.lit(0.1), 3.0, True)), 6).alias("hinge")),
+        _preference_loss,
         "SELECT l_linestatus, round(avg(greatest(-m, 0.0) + ln(1 + exp(-abs(m)))), 6) AS logistic, round(avg(greatest(0.0, -m)), 6) AS hinge FROM (SELECT l_linestatus, greatest(-3.0, least(3.0, l_extendedprice / 10000 - l_quantity / 10)) - 0.1::DOUBLE AS m FROM lineitem) GROUP BY l_linestatus",
     ),
     "pair_softmax": (
