@@ -129,26 +129,32 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int, small: int = 32)
     return order[moved], order[label[moved]]
 
 
+def block_masks(budget: int) -> tuple[list[int], list[list[int]]]:
+    """Bit masks of the ``budget + 1`` blocks, and for each block those of the blocks of its remaining bits."""
+    tops = _blocks(list(range(BITS)), budget + 1)
+    mask = lambda bits: sum(1 << b for b in bits)
+    return [mask(bits) for bits in tops], [[mask(sub) for sub in _blocks([b for b in range(BITS) if b not in bits], budget + 1)] for bits in tops]
+
+
 def block_keys(prints: DataFrame, budget: int, split_at: int = 1024) -> DataFrame:
-    """(rep, fp) -> (rep, fp, key): a row per bit block of the fingerprint; two within the budget share a key.
+    """(rep, fp) -> (rep, fp, key, block): a row per bit block of the fingerprint; two within the budget share a key.
 
-    Blocks with more than ``split_at`` fingerprints are keyed again by the blocks of their remaining bits.
+    Blocks with more than ``split_at`` fingerprints are keyed again by the blocks of their remaining bits; their ``block``
+    is -1.
     """
-    parts = budget + 1
-    tops = _blocks(list(range(BITS)), parts)
+    tops, rests = block_masks(budget)
 
-    def masked(bits):
-        return F.col("fp").bitwiseAND(F.lit(int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])))
+    def masked(mask):
+        return F.col("fp").bitwiseAND(F.lit(int(np.array([mask], np.uint64).view(np.int64)[0])))
 
     keyed = prints.select("rep", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), masked(bits).alias("value")) for i, bits in enumerate(tops)])).alias("k")).select("rep", "fp", "k.*")
     hot = keyed.groupBy("block", "value").count().where(F.col("count") > split_at).select("block", "value", F.lit(True).alias("hot"))
     keyed = keyed.join(hot, ["block", "value"], "left")
     cold_key = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("sub_value")))
     split_key = F.lit(None)
-    for i, bits in enumerate(tops):
-        rest = _blocks([b for b in range(BITS) if b not in bits], parts)
+    for i, rest in enumerate(rests):
         split_key = F.when(F.col("block") == i, F.array(*[F.struct(F.lit(j).alias("sub"), masked(sub).alias("sub_value")) for j, sub in enumerate(rest)])).otherwise(split_key)
-    return keyed.select("rep", "fp", "block", "value", F.explode(F.when(F.col("hot"), split_key).otherwise(cold_key)).alias("s")).select("rep", "fp", F.xxhash64("block", "value", "s.sub", "s.sub_value").alias("key"))
+    return keyed.select("rep", "fp", "block", "value", F.explode(F.when(F.col("hot"), split_key).otherwise(cold_key)).alias("s")).select("rep", "fp", F.xxhash64("block", "value", "s.sub", "s.sub_value").alias("key"), F.when(F.col("s.sub") < 0, F.col("block")).otherwise(-1).alias("block"))
 
 
 def trie_join(prints: DataFrame, budget: int = 4, split_at: int = 1024) -> DataFrame:
@@ -165,7 +171,7 @@ def trie_join(prints: DataFrame, budget: int = 4, split_at: int = 1024) -> DataF
             a, b = trie_links(key, fp.view(np.uint64), budget)
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["u", "v"])
 
-    return block_keys(prints, budget, split_at).repartition(shuffle_width(prints.sparkSession), "key").mapInArrow(run, "u long, v long")
+    return block_keys(prints, budget, split_at).drop("block").repartition(shuffle_width(prints.sparkSession), "key").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
