@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from granary.plans.common import Query
+from granary.plans.common import Query, scratch
 from granary.sources.tables import load
 from granary.streaming import logs
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one; a local one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-")
-    return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(load(spark, "events", sf).schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ended(stream: DataFrame, mode: str) -> DataFrame:
     """The last output of a stream in the given mode, from the folders of its batches."""
-    spark, at = stream.sparkSession, _scratch(stream.sparkSession)
+    spark, at = stream.sparkSession, scratch(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
