@@ -143,15 +143,19 @@ def _taken(tokens: list[list[str]], labels: list[int]) -> list[str]:
     n1, n0 = len(toxic), len(clean)
     if not n1 or not n0:
         return []
-    of = {w: features(w) for words in toxic for w in words}
-    docs: dict[str, list[int]] = {}
+    seen = Counter(f for words in toxic for f in {f for w in words for f in features(w)})
+    docs: dict[str, list[int]] = {f: [] for f, n in seen.items() if n >= 3}
+    del seen
+    of: dict[str, list[str]] = {}  # the features of each word that may be taken
     for d, words in enumerate(toxic):
+        for w in words:
+            if w not in of:
+                of[w] = [f for f in features(w) if f in docs]
         for f in {f for w in words for f in of[w]}:
-            docs.setdefault(f, []).append(d)
-    docs = {f: d for f, d in docs.items() if len(d) >= 3}
+            docs[f].append(d)
     free: Counter = Counter()
     for words in clean:
-        free.update({f for w in words for f in of.get(w) or features(w) if f in docs})
+        free.update({f for w in words for f in (of[w] if w in of else features(w)) if f in docs})
     open_ = {f: np.array(d) for f, d in docs.items() if _ratio(len(d), free[f], n1, n0) >= EVIDENCE}
     cover, active, done, out = np.zeros(n1, int), np.ones(n1, bool), [set() for _ in toxic], []
     while open_:
@@ -176,7 +180,8 @@ def fit(samples: list[tuple[str, int]], rounds: int = 60) -> Field:
     n0 = len(samples) - n1
     if not n1 or not n0:
         return Field(shift=-50.0)
-    tokens = [[w.lower() for w in WORD.findall(t or "")] for t, _ in samples]
+    one: dict[str, str] = {}  # a single object for each word: the driver holds all tokens of the samples
+    tokens = [[one.setdefault(w, w) for w in map(str.lower, WORD.findall(t or ""))] for t, _ in samples]
     used = _taken(tokens, [y for _, y in samples])
     if not used:
         return Field(shift=math.log(n1 / n0) if n1 < n0 else 0.0)
