@@ -101,16 +101,17 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name), distinct -> (name, words): unigram Viterbi over the counts of each name's own substrings."""
     total = counts.agg(F.sum("n")).first()[0] or 1
     n = F.length("name")
-    starts = names.select("name", F.explode(F.sequence(F.lit(1), n)).alias("at"))
-    parts = starts.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.least(n - F.col("at") + 1, F.lit(LONGEST))), lambda k: F.substring(F.col("name"), F.col("at"), k))).alias("word")).distinct()
-    known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    keyed = names.withColumn("_key", F.md5("name"))  # long names don't go along with each of their substrings
+    starts = keyed.select("_key", "name", F.explode(F.sequence(F.lit(1), n)).alias("at"))
+    parts = starts.select("_key", F.explode(F.transform(F.sequence(F.lit(1), F.least(n - F.col("at") + 1, F.lit(LONGEST))), lambda k: F.substring(F.col("name"), F.col("at"), k))).alias("word")).distinct()
+    known = parts.join(counts, "word").groupBy("_key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     def run(batches):
         for b in batches:
             found = [viterbi(name, {k["word"]: k["n"] for k in known or ()}, total) for name, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["name", "words"])
 
-    return names.join(known, "name", "left").select("name", "known").mapInArrow(run, "name string, words array<string>")
+    return keyed.join(known, "_key", "left").select("name", "known").mapInArrow(run, "name string, words array<string>")
 
 
 def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, examples: dict[str, tuple[str, ...]] = EXAMPLES) -> DataFrame:
@@ -118,7 +119,7 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=
     keep = [c for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict", "words", "score")]
     parsed = pages.select(*[F.col(f"`{c}`") for c in keep], host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path")).withColumn("_skeleton", F.regexp_replace(F.lower("path"), r"[^\p{L}]+", "/"))
     kinds = stored(parsed.select("host", "_skeleton").distinct(), "skeletons")
-    named = kinds.select("host", "_skeleton", F.explode(F.filter(F.split(F.concat_ws("/", "host", "_skeleton"), r"[^\p{L}]+"), lambda w: F.length(w).between(1, 63))).alias("name"))
+    named = kinds.select("host", "_skeleton", F.explode(F.filter(F.split(F.concat_ws("/", "host", "_skeleton"), r"[^\p{L}]+"), lambda w: w != "")).alias("name"))
     words = segment(named.select("name").distinct(), stored(word_counts(pages, html_col, examples), "words"))
     weights = bayes(examples)
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])

@@ -47,6 +47,14 @@ def test_edges_and_method(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_long_names_are_judged(spark):
+    long = "bonus".join(["casino"] * 30)
+    cases = [f"http://a.example.org/{long}", f"http://a.example.org/x{'q' * 63}", "http://a.example.org/"]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, None) for i, u in enumerate(cases)], "page_id long, url string, html string")).collect()}
+    assert got[0].verdict == "block" and got[0].words.count("casino") == 30 and got[0].words.count("bonus") == 29
+    assert "q" * 20 in got[1].words and got[1].verdict == got[2].verdict == "allow"
+
+
 def test_viterbi_finds_the_best_split():
     counts, total = {"free": 50, "bets": 40, "fre": 5, "ebets": 1, "e": 9, "be": 30, "ts": 2}, 1000
 
