@@ -1,18 +1,21 @@
 """Sequence packing: shortest-pack-first over the length histogram, patterns joined back to pieces by rank.
 
-Each document becomes token ids by a public byte-level BPE (special strings in texts are ordinary text), then ``end_id``.
-It is cut into full pieces of ``capacity`` and one remainder. The driver sees the histogram only (``capacity`` lengths
-times ``SALTS`` rows at most): it places lengths longest first, each into the shortest pack that exists, as counts of
-packing patterns. Pieces get their rank within their length (salted, so that a frequent length is many small windows) and
-the pattern table turns (length, rank) into (sequence, offset).
+Each document becomes token ids by a public byte-level BPE (the vocabulary's special strings in texts become their ids, as
+the ``tokenizers`` library reads them by default), then ``end_id``. It is cut into full pieces of ``capacity`` and one
+remainder. The driver sees the histogram only, ``capacity`` lengths at most: it places lengths longest first, each into the
+shortest pack that exists, as counts of packing patterns; their number depends on the lengths, not on the rows (2,700 for
+50,000 as for 5 million pieces), so the table of their places is broadcast. Pieces get their rank within their length, in
+windows of ``RANKED`` rows or so, however many pieces a length has, and the patterns turn (length, rank) into (sequence, offset).
 
 Cases: null texts are empty and give the end id alone; repeated rows and ids are packed as rows of their own; a null id
-is kept as it is; an empty table gives none.
+is kept as it is; ties of a length are ordered by id, start and content; a very long text is many full pieces; further
+columns aren't read; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import cache
 
@@ -23,9 +26,12 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import stored
 
-SALTS = 32
+#: Pieces of one length that a window ranks, about.
+RANKED = 8192
+#: Ids of strings that aren't ordinary text: fixed values of the public vocabulary.
+SPECIAL = {"byte_bpe_50k": {"<|endoftext|>": 50256}}
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 @cache
@@ -42,10 +48,20 @@ def encoder(vocabulary: str = "byte_bpe_50k"):
     plain = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     known: dict[str, bytes] = {}
 
+    special = SPECIAL.get(vocabulary, {})
+    marks = re.compile("|".join(map(re.escape, special))) if special else None
+
     def ids(text: str) -> bytes:
         return np.array(plain(text), np.uint32).astype("<u4").tobytes()
 
     def encode(text: str) -> bytes:
+        out, at = [], 0
+        for m in marks.finditer(text) if marks and "<|" in text else ():
+            out += [ordinary(text[at : m.start()]), special[m[0]].to_bytes(4, "little")]
+            at = m.end()
+        return b"".join([*out, ordinary(text[at:])]) if at else ordinary(text)
+
+    def ordinary(text: str) -> bytes:
         parts = text.split(" ")
         if len(parts) < 2:
             return ids(text) if text else b""
@@ -136,16 +152,13 @@ def _slots(packed: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int
 def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     """Stored pieces -> the same rows with (sequence_id, offset): sequences are filled gapless from 0 and hold ``capacity`` at most."""
     spark = parts.sparkSession
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    counts = sorted((r["length"], r["_salt"], r["count"]) for r in salted.groupBy("length", "_salt").count().collect())
-    histogram: dict[int, int] = {}
-    bases = []
-    for length, salt, n in counts:
-        bases.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    slots = _slots(patterns(histogram, capacity))
-    base = F.broadcast(spark.createDataFrame(bases, "length int, _salt int, _base long"))
-    slot = F.broadcast(spark.createDataFrame(slots, "length int, _first long, _stop long, _sequence long, _offset long, _copies long"))
+    histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
+    salts = F.broadcast(spark.createDataFrame([(n, -(-count // RANKED)) for n, count in sorted(histogram.items())], "length int, _salts int"))
+    slot = F.broadcast(spark.createDataFrame(_slots(patterns(histogram, capacity)), "length int, _first long, _stop long, _sequence long, _offset long, _copies long"))
+    salted = parts.join(salts, "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("_salts")).cast("int"))
+    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = stored(counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases")
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1)
     ranked = ranked.join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     placed = ranked.join(slot, "length").where("_rank >= _first and _rank < _stop")
