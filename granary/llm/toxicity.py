@@ -3,14 +3,19 @@
 Two tags (O, T). A token's features are its lower-cased word and the word's prefixes. Labels are of documents, so the
 labelled tokens are derived: one document of each group of near copies is kept, and features are taken one by one by a
 likelihood ratio test against the toxic label, over the toxic documents that have fewer than ``COVER`` tokens explained
-by features taken before (else whatever stands beside a toxic word would count as toxic). Tokens of toxic documents with
-a taken feature are tagged T, and the field is fitted by gradient ascent on the conditional likelihood (forward-backward).
-Tokens without a used feature all look alike, so a run of them is one power of the transition matrix: scoring takes
+by features taken before (else whatever stands beside a toxic word would count as toxic). The test's level follows from how
+many features there are to try, so that few labels suffice for few features. Tokens of toxic documents with a taken feature
+are tagged T, and the field is fitted by gradient ascent on the conditional likelihood (forward-backward), with decaying
+weights. Tokens without a used feature all look alike, so a run of them is one power of the transition matrix: scoring takes
 forward-backward over the other tokens only and is exact. A document's score is a logistic of the odds that any token is
-toxic, from the marginals; its spans are the runs of tokens whose marginal is at least one half.
+toxic, of how many are, both from the marginals, and of its length, since what looks toxic by chance grows with it; its spans
+are the runs of tokens whose marginal is at least one half.
 
 Cases: null and empty texts have no tokens, no spans and the score of a text without evidence; labels of null or of
-documents that are not there are ignored; without labels of both kinds every score is 0. Repeated rows are scored alike.
+documents that are not there are ignored; without labels of both kinds every score is 0, or without features the share of toxic
+labels. Repeated rows are scored alike; of rows that share a labelled id the least text is learnt. Ties between features go to
+the least hash. Very long texts are scored whole, and no text is held beyond its row; the driver holds the samples as numbers.
+Other columns are not read by ``tag`` and pass through ``scored``, where only a column of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -18,24 +23,27 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
-#: Likelihood ratio a feature needs: chance gives so much about once in a million features.
-EVIDENCE = 26.0
+#: What a feature's likelihood ratio statistic must be over twice the log of the number of features tried.
+MARGIN = 4.0
 #: Most labelled documents of either kind that the field is fitted to.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 SEGMENT = 32
-COVER = 3
+#: Words whose weight a worker remembers at most.
+REMEMBERED = 100_000
+#: Segments whose gradient is taken at once; bounds the driver's memory.
+PART = 2048
+COVER = 12
 
 
 def features(word: str) -> list[str]:
@@ -44,13 +52,12 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class Field:
-    """Weights: ``words`` of features, ``bias`` of tag T, ``moves[a][b]`` of tag a before b, ``slope`` and ``shift`` of the score."""
+    """Weights: ``words`` of features, ``bias`` of tag T, ``moves[a][b]`` of tag a before b, ``judge`` of a document's measures."""
 
     words: dict[str, float] = field(default_factory=dict)
     bias: float = -12.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    slope: float = 1.0
-    shift: float = 0.0
+    judge: tuple[float, ...] = (0.0, 10.0, 0.0, 0.0)
 
     def emission(self, word: str) -> float | None:
         """Log weight of tag T against O; None if the token has no used feature."""
@@ -110,25 +117,48 @@ def evidence(probabilities: list[float]) -> float:
     return -14.0 if odds <= 1e-6 else min(14.0, math.log(odds) - none)
 
 
-def _ratio(a: int, b: int, n1: int, n0: int) -> float:
-    """G statistic of a feature in a of n1 toxic and b of n0 clean documents; 0 if it leans to clean ones."""
-    if a * n0 <= b * n1:
-        return 0.0
-    total, g = n1 + n0, 0.0
+def _ratios(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G statistics of features in a of n1 toxic and b of n0 clean documents; 0 for those that lean to clean ones."""
+    total, g = n1 + n0, np.zeros(len(a))
     for seen, row, col in ((a, a + b, n1), (b, a + b, n0), (n1 - a, total - a - b, n1), (n0 - b, total - a - b, n0)):
-        if seen:
-            g += 2 * seen * math.log(seen * total / (row * col))
-    return g
+        some = seen > 0
+        g[some] += 2 * seen[some] * np.log(seen[some] * total / (row[some] * col))
+    return np.where(a * n0 <= b * n1, 0.0, g)
 
 
-def _singled(tokens: list[list[str]]) -> list[int]:
+@dataclass
+class _Samples:
+    """Tokenized samples: ``docs`` are word numbers in order, ``sets`` the distinct ones; ``features[w]`` are numbers of a word's features, -1 for none."""
+
+    words: list[str]
+    docs: list[np.ndarray]
+    sets: list[np.ndarray]
+    features: np.ndarray
+
+
+def _tokenized(texts: list[str | None]) -> _Samples:
+    known: dict[str, int] = {}
+    docs = [np.array([known.setdefault(w, len(known)) for w in map(str.lower, WORD.findall(t or ""))], np.int32) for t in texts]
+    words = list(known)
+    # features are told apart by 64-bit hashes: their strings would take more memory than the texts
+    hashed = np.zeros((len(words), 1 + len(PREFIXES)), np.uint64)
+    for i, w in enumerate(words):
+        for k, f in enumerate(features(w)):
+            hashed[i, k] = xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"))
+    found, numbers = np.unique(hashed, return_inverse=True)
+    numbers = numbers.reshape(hashed.shape).astype(np.int32) - bool(len(found) and found[0] == 0)
+    return _Samples(words, docs, [np.unique(d) for d in docs], numbers)
+
+
+def _singled(samples: _Samples) -> list[int]:
     """Indices of the samples without near copies of earlier ones: five bands of three minima of word hashes."""
     seeds = np.random.Generator(np.random.PCG64(11)).integers(1, 2**31, (15, 2), dtype=np.uint64) | np.uint64(1)
+    crc = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in samples.words], np.uint64)
     known: set[tuple] = set()
     out = []
-    for i, words in enumerate(tokens):
-        h = np.array([zlib.crc32(w.encode()) for w in set(words)] or [0], np.uint64)
-        least = [int(((h * a + b) & np.uint64(0xFFFFFFFF)).min()) for a, b in seeds]
+    for i, words in enumerate(samples.sets):
+        h = crc[words] if len(words) else np.zeros(1, np.uint64)
+        least = ((h[:, None] * seeds[:, 0] + seeds[:, 1]) & np.uint64(0xFFFFFFFF)).min(0).tolist()
         bands = {(k, *least[3 * k : 3 * k + 3]) for k in range(5)}
         if not bands & known:
             out.append(i)
@@ -136,78 +166,79 @@ def _singled(tokens: list[list[str]]) -> list[int]:
     return out
 
 
-def _taken(tokens: list[list[str]], labels: list[int]) -> list[str]:
+def _taken(samples: _Samples, labels: list[int]) -> list[str]:
     """The features tied to the toxic label, in the order in which they are taken."""
-    kept = _singled(tokens)
-    toxic, clean = [set(tokens[i]) for i in kept if labels[i]], [set(tokens[i]) for i in kept if not labels[i]]
+    kept = _singled(samples)
+    toxic, clean = [samples.sets[i] for i in kept if labels[i]], [samples.sets[i] for i in kept if not labels[i]]
     n1, n0 = len(toxic), len(clean)
-    if not n1 or not n0:
+    size = int(samples.features.max(initial=-1)) + 1
+    if not n1 or not n0 or not size:
         return []
-    seen = Counter(f for words in toxic for f in {f for w in words for f in features(w)})
-    docs: dict[str, list[int]] = {f: [] for f, n in seen.items() if n >= 3}
-    del seen
-    of: dict[str, list[str]] = {}  # the features of each word that may be taken
-    for d, words in enumerate(toxic):
-        for w in words:
-            if w not in of:
-                of[w] = [f for f in features(w) if f in docs]
-        for f in {f for w in words for f in of[w]}:
-            docs[f].append(d)
-    free: Counter = Counter()
+
+    def present(words: np.ndarray) -> np.ndarray:
+        found = np.unique(samples.features[words])
+        return found[found >= 0]
+
+    seen, free = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for words in toxic:
+        seen[present(words)] += 1
     for words in clean:
-        free.update({f for w in words for f in (of[w] if w in of else features(w)) if f in docs})
-    open_ = {f: np.array(d) for f, d in docs.items() if _ratio(len(d), free[f], n1, n0) >= EVIDENCE}
-    cover, active, done, out = np.zeros(n1, int), np.ones(n1, bool), [set() for _ in toxic], []
-    while open_:
+        free[present(words)] += 1
+    often = np.flatnonzero(seen >= 3)
+    if not len(often):
+        return []
+    # as many features as may be tried are expected to reach this by chance a few hundredths of once
+    least = 2 * math.log(len(often)) + MARGIN
+    open_ = often[_ratios(seen[often].astype(float), free[often].astype(float), n1, n0) >= least]
+    place = np.full(size, -1)
+    place[open_] = np.arange(len(open_))
+    held = [place[f][place[f] >= 0] for f in map(present, toxic)]
+    doc, feature = np.repeat(np.arange(n1), list(map(len, held))), np.concatenate(held)
+    cover, done, out = np.zeros(n1, int), [np.zeros(len(w), bool) for w in toxic], []
+    live = np.ones(len(open_), bool)
+    name_of: dict[int, str] = {}
+    while live.any():
+        active = cover < COVER
         left = int(active.sum())
-        scores = {f: _ratio(int(active[d].sum()), free[f], left, n0) for f, d in open_.items()} if left else {}
-        open_ = {f: open_[f] for f, g in scores.items() if g >= EVIDENCE}
-        if not open_:
+        if not left:
             break
-        best = min(open_, key=lambda f: (-scores[f], f))
-        for d in open_.pop(best).tolist():
-            new = {w for w in toxic[d] if best in of[w]} - done[d]
-            done[d] |= new
-            cover[d] += len(new)
-        active = cover < COVER
-        out.append(best)
+        scores = _ratios(np.bincount(feature[active[doc]], minlength=len(open_)).astype(float), free[open_].astype(float), left, n0)
+        live &= scores >= least
+        if not live.any():
+            break
+        best = int(np.argmax(np.where(live, np.round(scores, 9), -1.0)))  # ties: the feature of the least hash
+        live[best] = False
+        number = open_[best]
+        for d in doc[feature == best].tolist():
+            has = (samples.features[toxic[d]] == number).any(1)
+            if best not in name_of:
+                w = toxic[d][has][0]
+                name_of[best] = features(samples.words[w])[int(np.flatnonzero(samples.features[w] == number)[0])]
+            cover[d] += int((has & ~done[d]).sum())
+            done[d] |= has
+        out.append(name_of[best])
     return out
 
 
-def fit(samples: list[tuple[str, int]], rounds: int = 60) -> Field:
-    """Fit the field to (text, label 0 or 1) pairs; deterministic for a given order."""
-    n1 = sum(y for _, y in samples)
-    n0 = len(samples) - n1
-    if not n1 or not n0:
-        return Field(shift=-50.0)
-    one: dict[str, str] = {}  # a single object for each word: the driver holds all tokens of the samples
-    tokens = [[one.setdefault(w, w) for w in map(str.lower, WORD.findall(t or ""))] for t, _ in samples]
-    used = _taken(tokens, [y for _, y in samples])
-    if not used:
-        return Field(shift=math.log(n1 / n0) if n1 < n0 else 0.0)
-    index = {f: k for k, f in enumerate(used)}
-    of = {w: [index[f] for f in features(w) if f in index] for words in tokens for w in set(words)}
-    segments, tags = [], []
-    for words, (_, y) in zip(tokens, samples, strict=True):
-        cuts = range(0, len(words), SEGMENT)
-        for s in [s for s in cuts if any(of[w] for w in words[s : s + SEGMENT])] or list(cuts)[:1]:
-            part = words[s : s + SEGMENT]
-            segments.append([of[w] for w in part])
-            tags.append([int(bool(y and of[w])) for w in part])
-    n, size = len(segments), max(map(len, segments))
-    y = np.full((n, size), -1)
-    for k, t in enumerate(tags):
-        y[k, : len(t)] = t
-    row = np.array([k * size + i for k, s in enumerate(segments) for i, fs in enumerate(s) for _ in fs])
-    col = np.array([f for s in segments for fs in s for f in fs])
-    real = y >= 0
-    theta = np.concatenate((np.full(len(used), 3.0), [-6.0, 0.0, 0.0, 0.0, 0.0]))
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    before = np.concatenate((np.zeros((n, 1), int), np.maximum(y[:, :-1], 0)), axis=1)
-    for step in range(1, rounds + 1):
-        w, bias, moves = theta[: len(used)], theta[-5], theta[-4:].reshape(2, 2)
+class _Part:
+    """Some tagged segments, padded to one length, and the gradient of their conditional likelihood."""
+
+    def __init__(self, segments: list[list[list[int]]], tags: list[list[int]]):
+        n, size = len(segments), max(map(len, segments))
+        self.y = np.full((n, size), -1)
+        for k, t in enumerate(tags):
+            self.y[k, : len(t)] = t
+        self.row = np.array([k * size + i for k, s in enumerate(segments) for i, fs in enumerate(s) for _ in fs], int)
+        self.col = np.array([f for s in segments for fs in s for f in fs], int)
+        self.before = np.concatenate((np.zeros((n, 1), int), np.maximum(self.y[:, :-1], 0)), axis=1)
+
+    def gradient(self, theta: np.ndarray, used: int) -> np.ndarray:
+        """By forward-backward: tags told less tags expected, and the same for pairs of neighbours."""
+        y, (n, size) = self.y, self.y.shape
+        real = y >= 0
+        w, bias, moves = theta[:used], theta[-5], theta[-4:].reshape(2, 2)
         emit = np.zeros((n, size, 2))
-        emit[..., 1] = bias + np.bincount(row, w[col], n * size).reshape(n, size)
+        emit[..., 1] = bias + np.bincount(self.row, w[self.col], n * size).reshape(n, size)
         emit = np.exp(np.clip(emit, -40, 40)) * real[..., None] + (~real)[..., None] * np.array([1.0, 0.0])
         move = np.exp(moves)
         alpha, beta = np.empty((n, size, 2)), np.ones((n, size, 2))
@@ -225,34 +256,72 @@ def fit(samples: list[tuple[str, int]], rounds: int = 60) -> Field:
         pair = prior[..., :, None] * move * (emit * beta)[..., None, :]
         pair /= pair.sum((2, 3), keepdims=True)
         gap = (y == 1) - p[..., 1]
-        grad_w = np.bincount(col, gap.ravel()[row], len(used)) - 0.05 * w
-        grad_b = (gap * real).sum() - 0.01 * bias
         told = np.zeros((n, size, 2, 2))
-        told[np.arange(n)[:, None], np.arange(size), before, np.maximum(y, 0)] = 1
-        grad_m = ((told - pair) * real[..., None, None]).sum((0, 1)).ravel() - 0.05 * theta[-4:]
-        grad = np.concatenate((grad_w, [grad_b], grad_m))
+        told[np.arange(n)[:, None], np.arange(size), self.before, np.maximum(y, 0)] = 1
+        moved = ((told - pair) * real[..., None, None]).sum((0, 1)).ravel()
+        return np.concatenate((np.bincount(self.col, gap.ravel()[self.row], used), [(gap * real).sum()], moved))
+
+
+def fit(samples: list[tuple[str, int]], rounds: int = 60) -> Field:
+    """Fit the field to (text, label 0 or 1) pairs; deterministic for a given order."""
+    labels = [y for _, y in samples]
+    n1 = sum(labels)
+    n0 = len(samples) - n1
+    if not n1 or not n0:
+        return Field(judge=(-50.0, 0.0, 0.0, 0.0))
+    bag = _tokenized([t for t, _ in samples])
+    used = _taken(bag, labels)
+    if not used:
+        return Field(judge=(math.log(n1 / n0) if n1 < n0 else 0.0, 0.0, 0.0, 0.0))
+    index = {f: k for k, f in enumerate(used)}
+    of = [[index[f] for f in features(w) if f in index] for w in bag.words]
+    some = np.array([bool(f) for f in of])
+    segments, tags = [], []
+    for words, y in zip(bag.docs, labels, strict=True):
+        cuts = range(0, len(words), SEGMENT)
+        for s in [s for s in cuts if some[words[s : s + SEGMENT]].any()] or list(cuts)[:1]:
+            part = words[s : s + SEGMENT].tolist()
+            segments.append([of[w] for w in part])
+            tags.append([int(bool(y and of[w])) for w in part])
+    if not segments:
+        return Field(judge=(math.log(n1 / n0) if n1 < n0 else 0.0, 0.0, 0.0, 0.0))
+    theta = np.concatenate((np.full(len(used), 3.0), [-6.0, 0.0, 0.0, 0.0, 0.0]))
+    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+    parts = [_Part(segments[k : k + PART], tags[k : k + PART]) for k in range(0, len(segments), PART)]
+    decay = np.concatenate((np.full(len(used), 0.05), [0.01], np.full(4, 0.05)))
+    for step in range(1, rounds + 1):
+        grad = sum(part.gradient(theta, len(used)) for part in parts) - decay * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta += 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     model = Field(dict(zip(used, theta[: len(used)].tolist(), strict=True)), float(theta[-5]), theta[-4:].reshape(2, 2).copy())
-    x = np.array([evidence(_doc_marginals(model, words)[1]) for words in tokens])
-    model.slope, model.shift = _logistic(x, np.array([y for _, y in samples]))
+    weight = np.array([sum(model.words[used[k]] for k in f) + model.bias if f else np.nan for f in of])
+    x = np.empty((len(bag.docs), 4))
+    for i, words in enumerate(bag.docs):
+        e = weight[words] if len(words) else np.zeros(0)
+        places = np.flatnonzero(~np.isnan(e))
+        x[i] = measures(marginals(model, places.tolist(), e[places].tolist(), len(words)), len(words))
+    model.judge = _logistic(x, np.array(labels))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of P(y = 1 | x), a little ridge, by Newton's method on smoothed targets."""
+def measures(probabilities: list[float], n: int) -> tuple[float, float, float, float]:
+    """What a document is judged by: 1, the odds that any token is toxic, how many tokens are, and how long it is (what occurs by chance grows with it)."""
+    return 1.0, evidence(probabilities) / 10, math.log1p(sum(probabilities)), math.log1p(n) / 4
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, ...]:
+    """Weights of P(y = 1 | x), a little ridge, by Newton's method on smoothed targets; the first column is constant."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 0.1, math.log((n1 + 1) / (n0 + 1))
+    w = np.zeros(x.shape[1])
+    w[0] = math.log((n1 + 1) / (n0 + 1))
+    ridge = np.array([1e-6] + [0.05] * (x.shape[1] - 1))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         v = p * (1 - p) + 1e-9
-        g = np.array([((target - p) * x).sum() - 1e-3 * a, (target - p).sum()])
-        h = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum()]])
-        step = np.linalg.solve(h, g)
-        scale = min(1.0, 1.0 / (np.abs(step).max() + 1e-12))
-        a, b = a + scale * step[0], b + scale * step[1]
-    return float(max(a, 0.0)), float(b)
+        step = np.linalg.solve((x * v[:, None]).T @ x + np.diag(ridge), x.T @ (target - p) - ridge * w)
+        w = w + min(1.0, 2.0 / (np.abs(step).max() + 1e-12)) * step
+    return tuple(w.tolist())
 
 
 def _doc_marginals(model: Field, words: list[str], known: dict | None = None) -> tuple[list[int], list[float]]:
@@ -262,7 +331,7 @@ def _doc_marginals(model: Field, words: list[str], known: dict | None = None) ->
         e = known.get(w, 0)
         if e == 0:
             e = model.emission(w.lower())
-            if len(known) < 300_000:
+            if len(known) < REMEMBERED:
                 known[w] = e
         if e is not None:
             places.append(i)
@@ -274,7 +343,8 @@ def score_text(model: Field, text: str | None, known: dict | None = None) -> tup
     """(score, spans): spans are (start, stop, largest marginal) in characters of the text."""
     words = WORD.findall(text or "")
     places, p = _doc_marginals(model, words, known)
-    score = 1 / (1 + math.exp(-max(-35.0, min(35.0, model.slope * evidence(p) + model.shift))))
+    z = sum(a * b for a, b in zip(model.judge, measures(p, len(words)), strict=True))
+    score = 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
     hot = {i: q for i, q in zip(places, p, strict=True) if q >= 0.5}
     spans: list[tuple[int, int, float]] = []
     if hot:
@@ -316,12 +386,12 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
 def scored(docs: DataFrame, model: Field, name: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with the score of each text as a further column ``name``."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict = {}
         for t in texts:
-            yield pd.Series([score_text(model, x, known)[0] for x in t], dtype=float)
+            yield pa.array([score_text(model, x.as_py(), known)[0] for x in t], pa.float64())
 
-    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text_col).cast("string")))
+    return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(text_col).cast("string")))
 
 
 def held_out(id_col: str = "doc_id"):
