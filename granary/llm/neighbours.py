@@ -4,16 +4,20 @@ Vectors are scaled to length 1; each half has a codebook of its own (k-means on
 a cell of the product grid. A vector is listed in its home cell. As a query it visits cells in a multi-sequence order, of
 growing bound on the distance between it and anything listed there, until the bound passes the distance that the cosine
 allows, times ``reach``. With 1 recall is 1, since half-space bounds are exact, but they hold for the one worst direction;
-a pair's gap lies mostly aside of it, and 0.6 reached a measured recall of 1.0000 at a third of the visits. Every visited
-pair is verified in double precision. Only vectors of equal, known label and equal length share cells.
+a pair's gap lies mostly aside of it, and 0.6 reached a measured recall of 1.0000 at a third of the visits (a link that only one of
+its ends finds would count for that end alone; with 1 none is lost). Every visited pair is verified in double precision, whatever
+the components' size. Only vectors of equal, known label (of any type) and equal length share cells. Codebooks grow with the
+square root of the rows, so that a cell keeps its size.
 
 Equal vectors are one listed vector with a count. Cells with more than ``CHUNK`` vectors are cut into chunks, each visited
 by the same queries, so a crowded cell is many tasks; a task holds one chunk and a block of visitors, and emits a count
 for each visitor and a spanning set of links, never the pairs.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and those of null label, link with
-nothing. Repeated rows are vectors of their own. Null ids count as partners but are nobody's component. Empty tables
-give none.
+nothing. Repeated rows are vectors of their own. Null ids count as partners but are nobody's component (null
+where no id is linked; ids are below 7 * 2**60). A cosine of exactly the
+bound links. Vectors of any length are held whole, a chunk and a block of visitors at a time. Only the three named columns are
+read, so others never clash. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from granary.llm.common import shuffle_width, stored
 from granary.llm.components import components
@@ -33,6 +38,15 @@ from granary.llm.simhash import _labels
 #: Vectors that the codebooks are fitted to, at most.
 SAMPLE = 20_000
 CHUNK = 2048
+#: Codes of a codebook, at most: cells grow beyond some 400 million vectors of a label only.
+CODES = 1024
+
+
+def unit(vecs) -> np.ndarray:
+    """Vectors at length 1 in double precision; scaled by their largest component first, so that no square overflows."""
+    x = np.array(vecs, np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -58,7 +72,8 @@ def half_bounds(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(nearest code, squared distance to the half-space beyond which each code is nearest) for every row."""
     d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ book.T + (book**2).sum(1), 0)
     near = np.argmin(d, axis=1)
-    apart = np.sqrt(np.maximum(((book[near][:, None, :] - book[None]) ** 2).sum(2), 1e-300))
+    square = (book**2).sum(1)
+    apart = np.sqrt(np.maximum(square[:, None] - 2 * book @ book.T + square, 1e-300))[near]
     h = np.maximum(d - d[np.arange(len(x)), near][:, None], 0) / (2 * apart)
     h[np.arange(len(x)), near] = 0
     return near, h**2
@@ -80,13 +95,13 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> list[tuple[int
     return out
 
 
-def _listed(classes: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, dim: int, cosine: float, reach: float) -> DataFrame:
+def _listed(classes: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, dim: int, cosine: float, reach: float, kind: str) -> DataFrame:
     """(label, dim, i, j, home, rep, n, vec): the home row of every vector and one row per cell it visits."""
     limit = (2 - 2 * cosine) * reach**2 + 1e-9
     names = ["label", "dim", "i", "j", "home", "rep", "n", "vec"]
 
     def run(batches):
-        for b in batches:
+        for b in (piece for whole in batches for piece in (whole.slice(k, 512) for k in range(0, whole.num_rows, 512))):
             labels, reps, counts, vecs = (b.column(k).to_pylist() for k in range(4))
             out: list[list] = [[] for _ in names]
 
@@ -100,8 +115,7 @@ def _listed(classes: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, dim
                     put(labels[k], len(vecs[k]), -1, -1, home, reps[k], counts[k], vecs[k])
             rest = [k for k, v in enumerate(vecs) if len(v) == dim and books is not None]
             if rest:
-                x = np.array([vecs[k] for k in rest], np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit([vecs[k] for k in rest])
                 half = dim // 2
                 near1, a = half_bounds(x[:, :half], books[0])
                 near2, c = half_bounds(x[:, half:], books[1])
@@ -109,19 +123,15 @@ def _listed(classes: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, dim
                     put(labels[k], dim, int(near1[row]), int(near2[row]), True, reps[k], counts[k], vecs[k])
                     for i, j in multi_sequence(a[row], c[row], limit):
                         put(labels[k], dim, i, j, False, reps[k], counts[k], vecs[k])
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float32() if kind == "float" else pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names)
 
-    return classes.select("label", "rep", "n", "vec").mapInArrow(run, "label int, dim int, i int, j int, home boolean, rep long, n long, vec array<float>")
+    return classes.select("label", "rep", "n", "vec").mapInArrow(run, f"label string, dim int, i int, j int, home boolean, rep long, n long, vec array<{kind}>")
 
 
 def _met(listed: DataFrame, cosine: float) -> DataFrame:
     """(u, v, links): for visitors the number of vectors linked to u (v null), and spanning links (links 0)."""
 
-    def unit(vecs):
-        x = np.array(vecs, np.float64)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
     def meet(homes, visitors):
         """One chunk against a block of its visitors."""
         hx, hr, hn = unit([h[2] for h in homes]), np.array([h[0] for h in homes]), np.array([h[1] for h in homes])
@@ -167,25 +177,26 @@ def _met(listed: DataFrame, cosine: float) -> DataFrame:
 
 def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, reach: float = 0.6, sample: int = SAMPLE, codes: int | None = None) -> DataFrame:
     """(id, n_links, component) of every row."""
-    vec = F.col(vec_col).cast("array<float>")
-    square = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    given = rows.schema[vec_col].dataType
+    kind = "float" if isinstance(getattr(given, "elementType", None), FloatType) else "double"  # 32-bit components stay as they are
+    vec = F.col(vec_col).cast(f"array<{kind}>")
     bad = F.col(label_col).isNull() | vec.isNull() | F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fine = ~F.coalesce(bad, F.lit(True)) & (F.coalesce(square, F.lit(0.0)) > 0)
-    named = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), vec.alias("vec"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    good = named.where("fine").withColumn("rep", F.coalesce("id", -1 - F.abs(F.xxhash64("label", "vec"))))
+    fine = ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
+    named = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    good = named.where("fine").withColumn("rep", F.coalesce("id", F.lit(2**63 - 1) - F.pmod(F.xxhash64("label", "vec"), F.lit(2**60))))
     classes = stored(good.groupBy("label", "vec").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "vectors")
     sizes = classes.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     books, dim = None, 0
     if sizes is not None and sizes["dim"] > 1:
         dim = sizes["dim"]
         drawn = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").collect()
-        x = np.array([r["vec"] for r in drawn], np.float64)
-        size = codes or int(min(64, max(2, math.sqrt(sizes["count"]) / 20)))
-        books = fit_codebooks(x / np.linalg.norm(x, axis=1, keepdims=True), size)
-    met = stored(_met(stored(_listed(classes, books, dim, cosine, reach), "listed"), cosine), "met")
+        size = codes or int(min(CODES, max(2, math.sqrt(sizes["count"]) / 20)))
+        books = fit_codebooks(unit([r["vec"] for r in drawn]), size)
+    met = stored(_met(stored(_listed(classes, books, dim, cosine, reach, kind), "listed"), cosine), "met")
     counts = met.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     found = components(met.where("v is not null").select("u", "v"))
     told = classes.join(counts, classes.rep == counts.u, "left").join(found, classes.rep == found.node, "left")
     told = told.select(F.col("label").alias("l"), F.col("vec").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    told = told.withColumn("component", F.when(F.col("component") < 2**63 - 1 - 2**60, F.col("component")))  # without any id
     joined = good.join(told, (good.label == told.l) & (good.vec == told.w)).select("id", "n_links", "component")
     return joined.unionByName(named.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))

@@ -58,3 +58,15 @@ def test_bounds_never_lose_a_cell():
     for i in range(0, 400, 7):
         gap = ((x[:, :3] - x[i, :3]) ** 2).sum(1)
         assert (h[i][near] <= gap + 1e-9).all()
+
+
+def test_doubles_and_labels_of_any_type(spark):
+    rows = [(1, [1e300, 1e300], "a"), (2, [2e300, 2e300], "a"), (3, [1e-300, 1.1e-300], "a"), (4, [1.0, 1.0], "b"), (5, [1.0, 1.0], "b"), (6, [1.0, -1.0], "b"), (7, [0.0, 0.0], "b"), (None, [1.0, 1.0], "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.id: (r.n_links, r.component) for r in neighbours.link_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (2, 4), 5: (2, 4), 6: (0, 6), 7: (0, 7), None: (2, 4)}
+
+
+def test_repeated_rows_are_vectors_of_their_own(spark):
+    df = spark.createDataFrame([(9, [1.0, 2.0], 1)] * 3, "vec_id long, embedding array<float>, label int")
+    assert [(r.id, r.n_links, r.component) for r in neighbours.link_vectors(df).collect()] == [(9, 2, 9)] * 3
