@@ -1,8 +1,10 @@
 """The training-corpus pipeline: toxicity, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes every stage's rows as
-Parquet in the shared folder and reads them again. All but the last return the columns of ``documents``. Rows with a null
-doc_id are never filtered out, since nothing can be decided about them by id, and are packed at the end.
+Parquet in the shared folder and reads them again. All but the last return the columns of ``documents``, under any names beside
+doc_id, text and n_chars. Rows with a null doc_id are never filtered out by what is decided by id (the toxicity of a text isn't),
+and are packed at the end. Null and empty texts pass every stage; without labels or benchmark items their stages reject nothing;
+identical rows of one id are kept or rejected together; empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -20,18 +22,28 @@ from granary.llm.toxicity import held_out, learn, scored
 TOXIC = 0.7
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC``."""
     model = learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return scored(docs, model, "_score").where(F.col("_score") < TOXIC).drop("_score")
+    score = fresh(docs, "score")
+    return scored(docs, model, score).where(F.col(score) < TOXIC).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each class of like lines; documents that lose every line they had go. n_chars follows the text."""
-    found = dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    lines, removed = fresh(docs, "lines_read"), fresh(docs, "lines_removed")
+    found = dedup_lines(docs, counts=(lines, removed))
+    emptied = (F.col(removed) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     kept = found.where(~F.coalesce(emptied, F.lit(False)))
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    changed = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
 
 
