@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,57 +45,62 @@ def regression(rows: DataFrame, by: list[str], label: Column, prediction: Column
     )
 
 
-def ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _clipped(most: int):
+    """(ref, hyp) word arrays -> per n up to ``most``: clipped matches, n-grams of hyp, n-grams of ref; a row at a time, so nothing is shuffled."""
 
+    def run(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+        out = []
+        for ref, hyp in zip(refs, hyps, strict=True):
+            ref, hyp = ref.as_py() or [], hyp.as_py() or []
+            told = []
+            for n in range(1, most + 1):
+                a, b = (Counter(zip(*(words[k:] for k in range(n)), strict=False)) for words in (hyp, ref))
+                told += [sum(min(c, b[g]) for g, c in a.items() if g in b), max(len(hyp) - n + 1, 0), max(len(ref) - n + 1, 0)]
+            out.append(told)
+        return pa.array(out, pa.list_(pa.int64()))
 
-def _matches(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, matched, in_hyp, in_ref): clipped n-gram matches of each (ref, hyp) row, from exploded counts."""
-    sides = [rows.select(*keys, F.explode(ngrams(F.col(c), n)).alias("g"), F.lit(c == "hyp").alias("h")) for c in ("hyp", "ref")]
-    counts = sides[0].unionByName(sides[1]).groupBy(*keys, "g").agg(F.count_if("h").alias("a"), F.count_if(F.expr("not h")).alias("b"))
-    return counts.groupBy(*keys).agg(F.sum(F.least("a", "b")).alias("matched"), F.sum("a").alias("in_hyp"), F.sum("b").alias("in_ref"))
+    return F.arrow_udf(run, "array<long>")
 
 
-def corpus_bleu(rows: DataFrame, by: list[str], key: str, most: int = 4) -> DataFrame:
-    """(by, bleu): corpus BLEU x 100 of rows (by, key, ref, hyp word arrays); sums first, then the geometric mean, no smoothing."""
-    keys = [*by, key]
-    out = rows.groupBy(*by).agg(F.sum(F.size("ref")).alias("r"), F.sum(F.size("hyp")).alias("c"))
-    logs, any_zero = F.lit(0.0), F.lit(False)
-    for n in range(1, most + 1):
-        sums = _matches(rows, keys, n).groupBy(*by).agg(F.sum("matched").alias(f"m{n}"), F.sum("in_hyp").alias(f"t{n}"))
-        out = out.join(sums, by, "left")
-        good = F.coalesce(F.col(f"m{n}"), F.lit(0)) > 0
-        any_zero = any_zero | ~good
-        logs = logs + F.when(good, F.log(F.col(f"m{n}") / F.col(f"t{n}"))).otherwise(0.0) / most
+def corpus_bleu(rows: DataFrame, by: list[str], most: int = 4) -> DataFrame:
+    """(by, bleu): corpus BLEU x 100 of rows (by, ref, hyp word arrays); sums first, then the geometric mean, no smoothing."""
+    told = rows.select(*by, F.size("ref").alias("r"), F.size("hyp").alias("c"), _clipped(most)(F.col("ref"), F.col("hyp")).alias("k"))
+    sums = [F.sum(F.col("k")[3 * (n - 1) + i]).alias(f"{x}{n}") for n in range(1, most + 1) for i, x in enumerate("mt")]
+    out = told.groupBy(*by).agg(F.sum("r").alias("r"), F.sum("c").alias("c"), *sums)
+    any_zero = F.least(*[F.col(f"m{n}") for n in range(1, most + 1)], F.lit(1)) == 0
+    logs = sum((F.log(F.col(f"m{n}") / F.col(f"t{n}")) / most for n in range(1, most + 1)), F.lit(0.0))
     brevity = F.when(F.col("c") >= F.col("r"), 0.0).otherwise(1 - F.col("r") / F.col("c"))
     return out.select(*by, F.when(any_zero, 0.0).otherwise(100 * F.exp(brevity + logs)).alias("bleu"))
 
 
-def rouge_n(rows: DataFrame, by: list[str], key: str, n: int = 1) -> DataFrame:
-    """(by, rouge): mean over rows of the n-gram F score x 100; rows are paired by key."""
-    keys = [*by, key]
-    told = rows.select(*keys).join(_matches(rows, keys, n), keys, "left")
-    f = F.coalesce(2 * F.col("matched") / F.nullif(F.col("in_hyp") + F.col("in_ref"), F.lit(0)), F.lit(0.0))
-    return told.groupBy(*by).agg((100 * F.avg(f)).alias("rouge"))
+def rouge_n(rows: DataFrame, by: list[str], n: int = 1) -> DataFrame:
+    """(by, rouge): mean over rows (ref, hyp word arrays) of the n-gram F score x 100."""
+    k = F.slice(_clipped(n)(F.col("ref"), F.col("hyp")), -3, 3)
+    f = F.coalesce(2 * F.col("k")[0] / F.nullif(F.col("k")[1] + F.col("k")[2], F.lit(0)), F.lit(0.0))
+    return rows.select(*by, k.alias("k")).groupBy(*by).agg((100 * F.avg(f)).alias("rouge"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a row of the table at a time, folded JVM-side."""
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
+def common_subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence: a row of the table as the bits of an integer."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for x in b:
+        u = v & places.get(x, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
 
-    def row(previous: Column, x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)),
-            lambda done, j: F.concat(done, F.array(F.when(F.element_at(b, j) == x, F.element_at(previous, j) + 1).otherwise(F.greatest(F.element_at(previous, j + 1), F.element_at(done, -1))))),
-        )
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
+def _lcs(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    return pa.array([common_subsequence(a.as_py() or [], b.as_py() or []) for a, b in zip(refs, hyps, strict=True)], pa.int64())
 
 
 def rouge_l(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, rouge): mean F score of longest common subsequences x 100 of rows (ref, hyp word arrays)."""
-    n = F.size("ref") + F.size("hyp")
-    return rows.groupBy(*by).agg((100 * F.avg(F.coalesce(2 * lcs_length(F.col("hyp"), F.col("ref")) / F.nullif(n, F.lit(0)), F.lit(0.0)))).alias("rouge"))
+    told = rows.select(*by, (F.size("ref") + F.size("hyp")).alias("n"), F.arrow_udf(_lcs, "long")(F.col("ref"), F.col("hyp")).alias("k"))
+    return told.groupBy(*by).agg((100 * F.avg(F.coalesce(2 * F.col("k") / F.nullif("n", F.lit(0)), F.lit(0.0)))).alias("rouge"))
 
 
 def preference(rows: DataFrame, task: str, chosen: Column, rejected: Column) -> DataFrame:
@@ -123,9 +131,20 @@ def trial_variance(rows: DataFrame, item: str, setting: str, x: str) -> DataFram
     return rows.groupBy(item, setting).agg(F.var_samp(x).alias("v")).groupBy(setting).agg(F.avg("v").alias("variance"))
 
 
+def packed_signs(v: Column) -> Column:
+    """The signs of a whole vector as an array of longs, 60 components each."""
+    word = lambda w: F.aggregate(F.slice(v, w * 60 + 1, 60), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x > 0, 1).otherwise(0))
+    return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 60).cast("int")), word)).otherwise(F.array().cast("array<long>"))
+
+
+def _bits(a: Column, b: Column, how: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(getattr(x, how)(y))), F.lit(0).cast("long"), lambda n, k: n + k)
+
+
 def tanimoto(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseAND(b)) / F.nullif(F.bit_count(a.bitwiseOR(b)), F.lit(0))
+    """Of two arrays of longs: bits of both over bits of either."""
+    return _bits(a, b, "bitwiseAND") / F.nullif(_bits(a, b, "bitwiseOR"), F.lit(0))
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    return _bits(a, b, "bitwiseXOR")

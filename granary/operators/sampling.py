@@ -10,11 +10,29 @@ def hashed(seed: int, *cols: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]).cast("binary"))
 
 
+def _dealt(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """``df`` with its md5 order and that order's first digits: a group is 4,096 buckets in order, so none is sorted in one task."""
+    return df.withColumn("_order", hashed(seed, F.col(key))).withColumn("_bucket", F.substring("_order", 1, 3))
+
+
+def _back(dealt: DataFrame, told: DataFrame, group: str) -> DataFrame:
+    """Rows beside what is told of their group and bucket; a null group is a group."""
+    told = told.withColumnsRenamed({group: "_g", "_bucket": "_b"})
+    return dealt.join(told, dealt[group].eqNullSafe(told["_g"]) & (dealt["_bucket"] == told["_b"])).drop("_g", "_b")
+
+
 def per_group(df: DataFrame, group: str, n: Column, key: str, seed: int = 42) -> DataFrame:
-    """The first n rows of each group in md5 order; ``n`` may use ``_total``, the group's size."""
+    """The first n rows of each group in md5 order; ``n`` may use ``_total``, the group's size.
+
+    Counts of buckets say which are taken whole; rows are ranked inside their bucket only.
+    """
+    dealt = _dealt(df, group, key, seed)
+    counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_in"))
     w = Window.partitionBy(group)
-    ranked = df.withColumn("_total", F.count("*").over(w)).withColumn("_rank", F.row_number().over(w.orderBy(hashed(seed, F.col(key)), key)))
-    return ranked.where(F.col("_rank") <= n).drop("_total", "_rank")
+    before = F.coalesce(F.sum("_in").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = counts.withColumn("_total", F.sum("_in").over(w)).withColumn("_left", n - before).where("_left > 0").select(group, "_bucket", "_left")
+    rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_order", key))
+    return _back(dealt, told, group).withColumn("_rank", rank).where("_rank <= _left").drop("_order", "_bucket", "_left", "_rank")
 
 
 def stratified(df: DataFrame, group: str, ratio: int, floor: int, key: str, seed: int = 42) -> DataFrame:
@@ -32,10 +50,13 @@ def replicate(df: DataFrame, factor: int, templates: Column, key: str, seed: int
 
 def paired(df: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
     """(key, partner): each row of a group with the next in md5 order, round the end; rows alone in their group are left out."""
-    w = Window.partitionBy(group)
-    order = w.orderBy(hashed(seed, F.col(key)), key)
-    first = F.first(key).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("partner", F.coalesce(F.lead(key).over(order), first)).where(F.col("partner") != F.col(key)).select(group, key, "partner")
+    dealt = _dealt(df, group, key, seed)
+    w = Window.partitionBy(group).orderBy("_bucket")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = dealt.groupBy(group, "_bucket").agg(F.min(F.struct("_order", key))[key].alias("_key"))
+    told = firsts.select(group, "_bucket", F.coalesce(F.lead("_key").over(w), F.first("_key").over(whole)).alias("_next"))
+    after = F.lead(key).over(Window.partitionBy(group, "_bucket").orderBy("_order", key))
+    return _back(dealt, told, group).withColumn("partner", F.coalesce(after, "_next")).where(F.col("partner") != F.col(key)).select(group, key, "partner")
 
 
 def round_robin(total: int, world: int, batch: int, spark) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,7 +18,11 @@ Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared one; a local one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        shared = tempfile.mkdtemp(prefix="granary-")
     return f"{shared.rstrip('/')}/queries/{uuid.uuid4().hex}"
 
 
@@ -42,10 +47,15 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 SCORED = "scored AS (SELECT l.doc_id, d.lang AS task, l.quality AS y, l.toxic, (d.n_chars % 97) / 97.0 AS p, d.n_chars FROM labels l JOIN documents d USING (doc_id))"
 
-#: Captions: the first 12 words of a text against its words 3 to 14.
-PAIRS = r"""pairs AS (SELECT doc_id, lang AS task, w[1:12] AS ref, w[3:14] AS hyp FROM (SELECT doc_id, lang, list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents))"""
+#: Captions: a whole text without its last two words against the same without its first two.
+PAIRS = r"""pairs AS (SELECT doc_id, lang AS task, list_slice(w, 1, greatest(len(w) - 2, 0)) AS ref, list_slice(w, 3, len(w)) AS hyp FROM (SELECT doc_id, lang, list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents))"""
 
 
 def caption_pairs(spark: SparkSession, sf: str) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"\s+", " "), " "), lambda w: w != "")
-    return load(spark, "documents", sf).select("doc_id", F.col("lang").alias("task"), F.slice(words, 1, 12).alias("ref"), F.slice(words, 3, 12).alias("hyp"))
+    return load(spark, "documents", sf).select("doc_id", F.col("lang").alias("task"), words.alias("w")).select("doc_id", "task", *_shifted())
+
+
+def _shifted():
+    rest = F.greatest(F.size("w") - 2, F.lit(0))
+    return F.slice("w", F.lit(1), rest).alias("ref"), F.slice("w", F.lit(3), rest).alias("hyp")

@@ -8,7 +8,7 @@ from granary.functions.taxonomy import task_dimension, task_kind
 from granary.functions.text import component_key
 from granary.operators import decontam, history, sampling
 from granary.plans.common import TASK_ROWS, Query, task_rows
-from granary.sources.tables import load, metadata_split, require, toy_sample
+from granary.sources.tables import folder_names, load, metadata_split, require, toy_sample
 
 FAMILY = {"en": "north", "de": "north", "fr": "south", "es": "south"}
 LOSERS = ["de", "es"]
@@ -35,12 +35,30 @@ def _union(spark, sf):
 
 
 def _require(spark, sf):
-    d = load(spark, "documents", sf).select(F.col("source").alias("name")).distinct()
-    require([r[0] for r in spark.range(1).select(F.lit("documents").alias("t")).collect()], ["documents"])
-    b = load(spark, "events", sf).select(F.col("event_type").alias("name")).distinct()
-    return d.subtract(b)
+    """The tables of the folder as rows; fails if one that is configured isn't there."""
+    found = folder_names(spark, sf, r"^(.+)\.parquet$", ["name"])
+    require([r["name"] for r in found.collect()], WANTED)
+    return found.where(F.col("name").isin(WANTED))
 
 
+def _windows(text, sizes):
+    """Every distinct run of k words, for the k of each row."""
+    n = F.size(text) - sizes + 1
+    return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(text, i, sizes), " ")))
+
+
+def _contained(spark, sf):
+    """(item_id, n_docs): documents that hold any 8 words in a row of an item, or the whole of a shorter one."""
+    items = load(spark, "benchmark", sf).select("item_id", F.split("text", " ").alias("w"))
+    items = items.select("item_id", "w", F.least(F.size("w"), F.lit(8)).alias("k"))
+    asked = items.select("item_id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g"))
+    sizes = F.broadcast(items.select("k").distinct())  # eight rows at most
+    docs = load(spark, "documents", sf).select("doc_id", F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).join(sizes, "k")
+    held = docs.select("doc_id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g"))
+    return held.join(asked, ["k", "g"]).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
+WANTED = ["documents", "events", "labels"]
 LEAKED = f"""{TASK_ROWS}, eval_keys AS (SELECT DISTINCT task, key FROM task_rows WHERE split IN ('test', 'val') AND key IS NOT NULL),
 leaked AS (SELECT t.*, t.split = 'train' AND e.key IS NOT NULL AS leaked FROM task_rows t LEFT JOIN eval_keys e ON t.task = e.task AND t.key = e.key)"""
 FLAGGED = f"""{LEAKED}, kept AS (SELECT *, CASE WHEN task IN ('en', 'de') THEN 'north' WHEN task IN ('fr', 'es') THEN 'south' END AS family FROM leaked WHERE NOT leaked),
@@ -68,7 +86,7 @@ QUERIES: dict[str, Query] = {
         lambda s, d: toy_sample(load(s, "documents", d), 25, "doc_id").select("doc_id", "lang"),
         "SELECT doc_id, lang FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 25",
     ),
-    "scan_existence_contract": (_require, "SELECT DISTINCT source AS name FROM documents WHERE source NOT IN (SELECT event_type FROM events)"),
+    "scan_existence_contract": (_require, "SELECT * FROM (VALUES ('documents'), ('events'), ('labels')) t(name)"),
     "task_taxonomy": (
         lambda s, d: task_dimension(s).withColumn("again", task_kind(F.col("task"))).groupBy("kind", "again").agg(F.count("*").alias("n")),
         "SELECT * FROM (VALUES ('classification', 'classification', CAST(7 AS BIGINT)), ('regression', 'regression', 18), ('molecule', 'molecule', 13), ('caption', 'caption', 2), ('name_conversion', 'name_conversion', 4)) t(kind, again, n)",
@@ -87,12 +105,11 @@ QUERIES: dict[str, Query] = {
         SELECT *, before - after AS removed FROM c UNION ALL SELECT 'TOTAL', 'all', CAST(sum(before) AS BIGINT), CAST(sum(after) AS BIGINT), CAST(sum(before) - sum(after) AS BIGINT) FROM c""",
     ),
     "decontam_containment": (
-        lambda s, d: load(s, "documents", d).select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(F.split("text", " ")) - 8, F.lit(0))), lambda i: F.size(F.split("text", " ")) >= 8), lambda i: F.array_join(F.slice(F.split("text", " "), i + 1, 8), " ")))).alias("g"))
-        .join(load(s, "benchmark", d).select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("g"), F.size(F.split("text", " ")).alias("n")).where("n >= 8"), "g")
-        .groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs")),
-        """WITH b AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS g FROM benchmark WHERE len(string_split(text, ' ')) >= 8),
-        d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE len(w) >= 8))
-        SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM d JOIN b USING (g) GROUP BY item_id""",
+        _contained,
+        """WITH b AS (SELECT item_id, w, least(len(w), 8) AS k FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
+        a AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+        d AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), (SELECT DISTINCT k FROM b) WHERE len(w) >= k))
+        SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM d JOIN a USING (k, g) GROUP BY item_id""",
     ),
     "family_dedup": (
         lambda s, d: _flagged(s, d).where("split = 'train'").groupBy("task").agg(F.count_if(~F.col("duplicated")).alias("kept"), F.count_if("duplicated").alias("removed")),

@@ -30,7 +30,7 @@ round(coalesce(auc, 'nan'::DOUBLE), 6) AS roc_auc, round(1 - v / n, 6) AS failur
 
 
 def _bleu(s, d):
-    return _rounded(metrics.corpus_bleu(caption_pairs(s, d), ["task"], "doc_id"), "bleu")
+    return _rounded(metrics.corpus_bleu(caption_pairs(s, d), ["task"]), "bleu")
 
 
 def _gram_sql(n):
@@ -66,16 +66,15 @@ def _runs(s, d):
 
 def _bits(s, d):
     v = load(s, "embeddings", d)
-    code = F.aggregate(F.sequence(F.lit(1), F.lit(62)), F.lit(0).cast("long"), lambda a, i: a * 2 + F.when(F.element_at("embedding", i) > 0, 1).otherwise(0))
-    coded = v.select("vec_id", "label", code.alias("code"))
+    coded = v.select("vec_id", "label", metrics.packed_signs(F.col("embedding")).alias("code"))
     first = coded.groupBy("label").agg(F.min_by("code", "vec_id").alias("c0"))
     both = coded.join(first, "label")
     return both.groupBy("label").agg(F.round(F.avg(metrics.tanimoto(F.col("code"), F.col("c0"))), 6).alias("tanimoto"), F.sum(metrics.hamming(F.col("code"), F.col("c0"))).alias("bits"))
 
 
-BITS = """WITH c AS (SELECT vec_id, label, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:62], lambda x: CASE WHEN x > 0 THEN CAST(1 AS BIGINT) ELSE 0 END)), lambda a, x: a * 2 + x) AS code FROM embeddings),
-f AS (SELECT label, arg_min(code, vec_id) AS c0 FROM c GROUP BY label)
-SELECT label, round(avg(bit_count(code & c0) / nullif(bit_count(code | c0), 0)), 6) AS tanimoto, CAST(sum(bit_count(xor(code, c0))) AS BIGINT) AS bits FROM c JOIN f USING (label) GROUP BY label"""
+BITS = """WITH c AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings), f AS (SELECT label, arg_min(code, vec_id) AS c0 FROM c GROUP BY label),
+p AS (SELECT label, list_zip(code, c0) AS z FROM c JOIN f USING (label))
+SELECT label, round(avg(len(list_filter(z, lambda x: x[1] AND x[2])) / nullif(len(list_filter(z, lambda x: x[1] OR x[2])), 0)), 6) AS tanimoto, CAST(sum(len(list_filter(z, lambda x: x[1] <> x[2]))) AS BIGINT) AS bits FROM p GROUP BY label"""
 
 EDGES = [50.0, 100.0, 200.0, 400.0, 10000.0, 20000.0]
 DAY = "CAST(epoch(ts) AS BIGINT) // 3600"
@@ -92,7 +91,7 @@ QUERIES: dict[str, Query] = {
         "SELECT event_type, 'inf'::DOUBLE AS mae, 1.0::DOUBLE AS failure_rate FROM events GROUP BY event_type",
     ),
     "corpus_bleu": (_bleu, BLEU),
-    "rouge_n": (lambda s, d: _rounded(metrics.rouge_n(caption_pairs(s, d), ["task"], "doc_id", 2), "rouge"), ROUGE),
+    "rouge_n": (lambda s, d: _rounded(metrics.rouge_n(caption_pairs(s, d), ["task"], 2), "rouge"), ROUGE),
     "rouge_l": (lambda s, d: _rounded(metrics.rouge_l(caption_pairs(s, d), ["task"]), "rouge"), None),
     "gdr_grouping_sets": (
         lambda s, d: _rounded(metrics.preference(_events(s, d), "event_type", F.col("value"), F.lit(50.0)), "accuracy", "r_w", "r_l", "margin", to=4),
@@ -114,8 +113,8 @@ QUERIES: dict[str, Query] = {
     ),
     "tanimoto_bits": (_bits, BITS),
     "trial_variance": (
-        lambda s, d: metrics.trial_variance(load(s, "lineitem", d).where("l_linenumber <= 4"), "l_suppkey", "l_linestatus", "l_quantity").select("l_linestatus", F.round("variance", 4).alias("variance")),
-        "SELECT l_linestatus, round(avg(v), 4) AS variance FROM (SELECT l_suppkey, l_linestatus, var_samp(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL) GROUP BY l_linestatus",
+        lambda s, d: metrics.trial_variance(load(s, "lineitem", d), "l_suppkey", "l_linestatus", "l_quantity").select("l_linestatus", F.round("variance", 4).alias("variance")),
+        "SELECT l_linestatus, round(avg(v), 4) AS variance FROM (SELECT l_suppkey, l_linestatus, var_samp(l_quantity) AS v FROM lineitem GROUP BY ALL) GROUP BY l_linestatus",
     ),
     "merge_dedup_first": (
         _merged,
