@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests) a local one is made."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset in local mode (tests) a local one is made."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         at = getattr(spark.sparkContext, "_granary_scratch", None)
         if at is None:
             at = tempfile.mkdtemp(prefix="granary-")
@@ -20,6 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+_WRITING = threading.Lock()
+_writers: dict[int, list] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once by bytes: batches are of whole texts, of any length. A smaller bound of the session's own stays."""
+    bound = spark.conf.get(BATCH)
+    if not bound.rstrip("b").isdigit() or int(bound.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Shuffle files go with the query that made them; the session's own setting comes back with the last of its writers."""
+    with _WRITING:
+        held = _writers.setdefault(id(spark), [0, spark.conf.get(CLEANUP, None)])
+        held[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _WRITING:
+            held[0] -= 1
+            if not held[0]:
+                del _writers[id(spark)]
+                spark.conf.set(CLEANUP, held[1]) if held[1] is not None else spark.conf.unset(CLEANUP)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -29,12 +61,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    small_batches(spark)
+    with cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._granary_path = path
     return out
@@ -49,6 +78,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -165,13 +165,32 @@ def trie_join(prints: DataFrame, budget: int = 4, split_at: int = 1024) -> DataF
     """
 
     def run(batches):
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-        if held:
-            rep, fp, key = (np.concatenate(c) for c in zip(*held, strict=True))
+        for rep, fp, key in whole_keys(batches, 3, 2):
             a, b = trie_links(key, fp.view(np.uint64), budget)
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["u", "v"])
 
-    return block_keys(prints, budget, split_at).drop("block").repartition(shuffle_width(prints.sparkSession), "key").mapInArrow(run, "u long, v long")
+    dealt = block_keys(prints, budget, split_at).drop("block").repartition(shuffle_width(prints.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def whole_keys(batches, columns: int, key: int, rows: int = 32_768):
+    """Arrow batches sorted by column ``key`` -> tuples of arrays with whole keys, of ``rows`` rows or so: a task holds no more than that and one key."""
+    held: list[tuple] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(tuple(b.column(k).to_numpy() for k in range(columns)))
+        size += b.num_rows
+        if size < rows:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(whole[key], whole[key][-1]))  # the last key may go on
+        if cut:
+            yield tuple(c[:cut] for c in whole)
+        held, size = [tuple(c[cut:] for c in whole)], len(whole[key]) - cut
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
