@@ -47,10 +47,24 @@ def test_fold(spark):
     assert got == {(1, "u"): "hey", (1, "a"): "good day", (2, "x"): "only", (None, None): ""}
     shown = {r.conv: chat.read_back(r.formatted) for r in chat.format_chats(chat.fold(df)).collect()}
     assert shown[1] == [("user", "hey"), ("assistant", "good day")]
-    assert chat.audit(chat.format_chats(chat.fold(df.limit(0)))).count() == 0
+    assert chat.audit(chat.format_turns(chat.fold(df.limit(0)))).count() == 0
+    whole = {r.conv: r for r in chat.format_chats(chat.fold(df)).collect()}
+    assert [chat.unescape(whole[1].formatted[m.start : m.stop]) for m in whole[1].mask] == ["good day"]
 
 
 def test_repeated_rows_stay(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a", 5), (1, 0, "user", "a", 5), (1, None, "assistant", None, 5)], "conv_id long, turn long, role string, text string, seq int")
-    got = chat.audit(chat.format_chats(chat.fold(chat.as_events(rows)))).first()
+    got = chat.audit(chat.format_turns(chat.fold(chat.as_events(rows)))).first()
     assert got.n_turns == 3 and got.loss_chars == 0
+
+
+def test_long_conversation_in_any_order(spark):
+    """Turns of many batches, read back in the order in which they left and after a shuffle."""
+    rows = [(7, k, ("user", "assistant")[k % 2], f"[{k}] " + "x<" * (k % 50)) for k in range(3000)] + [(8, 0, "user", "y" * 300_000)]
+    messages = chat.fold(chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    turns = chat.format_turns(messages)
+    one, other = ({r.conv: tuple(r) for r in df.collect()} for df in (chat.audit(turns, in_order=True), chat.audit(turns.repartition(5, "no"))))
+    said = [(r, t) for c, _, r, t in rows if c == 7]
+    assert one == other and one[7][1] == 3000 and one[8][5] == 300_000 + len(chat.render("user", "")[0])
+    assert one[7][2] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+    assert one[7][4] == hashlib.sha256("".join(t for r, t in said if r == "assistant").encode()).hexdigest()
