@@ -4,9 +4,11 @@ The index is a table of postings ``(term, doc_id, pos)``. A phrase is found by i
 rarest terms of each window are shifted by the terms' offsets and intersected, and only the alignments that survive are
 intersected with the remaining lists.
 
-Cases: null and word-less texts have no postings and length 0. A ``doc_id`` identifies a document, so identical repeated
-rows count once; rows with a null id can't be reported and are left out. Items with a null id or no words are ignored.
-Empty tables give empty results. Only the named columns are read, so further columns never clash.
+Cases: null and word-less texts have no postings and length 0. For ``contamination`` every row is a document: repeated rows are
+told apart, also where an id repeats, and a null id is reported as null. ``build_index`` by itself goes by ids: rows of one id are
+laid over each other, and rows of none are left out. Items with a null id or no words are ignored; items of the same words share
+their hits. Ties between equally rare terms go by place. A very long text is one row of words. Empty tables give empty results.
+Only the named columns are read, so further columns never clash.
 """
 
 from __future__ import annotations
@@ -32,18 +34,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store and return the postings (term, doc_id, pos from 0); a document's length is the posting of the null term.
+def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
+    """Store and return the postings (term, doc_id, pos from 0, label); a document's length is the posting of the null term.
 
-    With a ``vocabulary`` (term) only its terms get postings, which is exact for queries over those terms.
+    With a ``vocabulary`` (term) only its terms get postings, which is exact for queries over those terms. A label goes along with
+    the posting of the null term only.
     """
+    label = F.lit(None).cast("long") if label_col is None else F.col(label_col)
     rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.concat(words(F.col(text_col)), F.array(F.lit(None).cast("string")))).alias("pos", "term")
-    )
+        F.col(id_col).cast("long").alias("doc_id"), label.alias("label"), F.posexplode(F.concat(words(F.col(text_col)), F.array(F.lit(None).cast("string")))).alias("pos", "term")
+    ).withColumn("label", F.when(F.col("term").isNull(), F.col("label")))
     if vocabulary is not None:
         known = vocabulary.select(F.col("term").alias("known")).distinct()
         rows = rows.join(_small(known), F.col("term") == F.col("known"), "left").where("known is not null or term is null").drop("known")
-    return stored(rows.select("term", "doc_id", "pos"), "postings")
+    return stored(rows.select("term", "doc_id", "pos", "label"), "postings")
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +95,7 @@ def phrase_hits(index: DataFrame, asked: DataFrame) -> DataFrame:
     """
     found = stored(alignments(index, asked), "alignments")
     wanted = found.join(asked.select("phrase", "span", F.posexplode("words").alias("p", "term")), "phrase").select("phrase", "span", "doc_id", "shift", "p", "term", (F.col("shift") + F.col("p")).alias("pos"))
-    some = index.where("term is not null").join(_small(stored(found.select("doc_id").distinct(), "found")), "doc_id", "left_semi")
+    some = index.where("term is not null").drop("label").join(_small(stored(found.select("doc_id").distinct(), "found")), "doc_id", "left_semi")
     agree = some.join(wanted, ["doc_id", "pos", "term"]).distinct()
     line = Window.partitionBy("phrase", "doc_id", "shift")
     runs = agree.withColumn("run", F.col("p") - F.row_number().over(line.orderBy("p")))
@@ -116,14 +120,16 @@ def proximity_matches(index: DataFrame, items: DataFrame, within: int) -> DataFr
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: (doc_id, n_words, n_hit, item_ids, contaminated); contaminated if ``n_hit > 0`` and ``share * n_hit >= n_words``."""
     asked = stored(phrases(item_words(benchmark), window), "phrases")
-    index = build_index(docs, asked.select(F.explode("words").alias("term")), id_col, text_col)
+    # rows are told apart by a number that is stored with the postings, so that an id may repeat
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("label"), F.col(text_col).alias("text"))
+    index = build_index(numbered, asked.select(F.explode("words").alias("term")), "row", "text", "label")
     hits = stored(phrase_hits(index, asked), "hits")
     counted = hits.groupBy("doc_id").agg(F.count_distinct("pos").alias("hit"))
     named = hits.select("doc_id", "phrase").distinct().join(asked.select("phrase", "item_ids"), "phrase").groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
-    lengths = index.where("term is null").groupBy("doc_id").agg(F.max("pos").cast("long").alias("n_words"))
+    lengths = index.where("term is null").select("doc_id", "label", F.col("pos").cast("long").alias("n_words"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return (
         lengths.join(counted, "doc_id", "left")
         .join(named, "doc_id", "left")
-        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
+        .select(F.col("label").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
     )

@@ -43,8 +43,9 @@ def test_whole_tables(spark):
 
 def test_edges(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "ONE"), (4, "one"), (None, "w1"), (5, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16"), (6, "zz zz")], "item_id long, text string")
-    got = {r.doc_id: r for r in decontam.contamination(odd(spark), items).collect()}
-    assert set(got) == {1, 2, 3, 4, 5, 6, 7}
+    rows = decontam.contamination(odd(spark), items).collect()
+    got = {r.doc_id: r for r in rows}
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 2, 3, 4, 5, 5, 6, 7] and got[None].n_words == 2
     assert got[5].item_ids == ["3", "4"] and got[5].n_words == 1 and got[5].contaminated
     assert got[1].n_words == 0 and got[3].n_words == 0 and not got[2].contaminated
     assert got[4].item_ids == ["5"] and got[4].n_hit == 14 * 31 and got[4].n_words == 30_000
@@ -59,3 +60,12 @@ def test_proximity(spark):
     near = lambda k: {r.doc_id for r in decontam.proximity_matches(index, asked, k).collect()}
     assert near(1) == {3} and near(6) == {1, 3} and near(8) == {1, 2, 3}
     assert {r.doc_id for r in index.where(F.col("term").isNull()).collect()} == {1, 2, 3}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    passage = [f"w{k}" for k in range(13)]
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    halves = [" ".join(passage[:6] + ["x"] * 7), " ".join(["x"] * 6 + passage[6:])]
+    docs = spark.createDataFrame([(1, halves[0]), (1, halves[1]), (2, " ".join(passage)), (2, " ".join(passage)), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontam.contamination(docs, items).collect())
+    assert got == [(1, 13, 0, False), (1, 13, 0, False), (2, 0, 0, False), (2, 13, 13, True), (2, 13, 13, True)]
