@@ -17,12 +17,12 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from granary.llm.chat import as_events, audit, fold, format_chats
+    from granary.llm.chat import as_events, audit, fold, format_turns
 
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return audit(format_chats(fold(as_events(rows)))).withColumnRenamed("conv", "conv_id")
+    return audit(format_turns(fold(as_events(rows))), in_order=True).withColumnRenamed("conv", "conv_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
