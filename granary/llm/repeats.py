@@ -10,8 +10,13 @@ After the last pass the digit is the whole string, so equal groups are exactly t
 are only counted (with map-side combine), never gathered, so a passage that a third of all documents share is no larger
 task. Groups of at most ``GATHERED`` suffixes after pass 0 take a shorter way to the same end: a task sorts their strings.
 
-Cases: null counts as empty; texts shorter than ``length`` have no strings; a repeat within one document counts. An
-``id`` identifies a document: rows are told apart by it, and rows with a null id are left out.
+Strings are compared by digests: 128 bits (core and hull) wherever a string is settled in a pass, 64 bits inside a group of at most
+``GATHERED`` suffixes that share a 64-bit core; bytes themselves aren't compared.
+
+Cases: null counts as empty; texts shorter than ``length`` have no strings; a repeat within one document counts. Every row is a
+document of its own, also where an id repeats or is null, so identical rows repeat each other. Ties between equal hashes go to the
+later place, the same in every occurrence. Very long texts are hashed ``PIECE`` bytes at a time. Only the two named columns are
+read, so others never clash. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -239,9 +244,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, gathered
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, gathered: int = GATHERED) -> DataFrame:
-    """Per document: (doc, n_bytes, removed array<struct<start, stop>> of maximal runs, kept binary)."""
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(named, length, gram, gathered)
+    """Per row: (doc, n_bytes, removed array<struct<start, stop>> of maximal runs, kept binary); doc is the id, also where it repeats or is null."""
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if named.groupBy("id").agg(F.count("*").alias("n")).where("id is null or n > 1").isEmpty():
+        named = named.select(F.col("id").alias("doc"), "text", "id")
+    else:  # ids don't tell the rows apart: numbers do, stored with the texts
+        named = stored(named.select(F.monotonically_increasing_id().alias("doc"), "text", "id"), "numbered")
+    spans = repeated_spans(named.select("doc", "text"), length, gram, gathered)
 
     def run(batches):
         for b in batches:
@@ -267,4 +276,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["doc", "n_bytes", "removed", "kept"],
             )
 
-    return named.join(spans, "doc", "left").mapInArrow(run, "doc long, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary")
+    return named.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(run, "doc long, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary")

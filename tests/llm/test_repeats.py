@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from granary.llm import repeats
+from granary.llm import queries, repeats
 
 from .helpers import SF, empty, odd, table
 
@@ -55,6 +56,20 @@ def test_pieces_of_long_texts(monkeypatch):
 
 
 def test_edges(spark):
-    got = found(odd(spark).where("doc_id is null or doc_id <> 5"))
-    assert set(got) == {1, 2, 3, 4, 6, 7} and got[4][2] == got[6][2] == b"" and got[1] == (0, [], b"")
+    rows = repeats.remove_repeats(odd(spark)).collect()
+    assert sorted(r.doc or 0 for r in rows) == [0, 1, 2, 3, 4, 5, 5, 6, 7]
+    got = {r.doc: (r.n_bytes, r.removed, bytes(r.kept)) for r in rows}
+    assert got[4][2] == got[6][2] == b"" and got[1] == (0, [], b"") and got[None][2] == b"one two" and got[5][2] == b"one"
     assert found(empty(spark)) == {}
+
+
+def test_identical_rows_repeat_each_other(spark):
+    text = "".join(random.Random(5).choice("abcdef") for _ in range(500))
+    rows = spark.createDataFrame([(1, text), (1, text), (None, "x" + text), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc or 0, r.n_bytes, bytes(r.kept)) for r in repeats.remove_repeats(rows).collect())
+    assert got == [(0, 501, b"x"), (1, 500, b""), (1, 500, b""), (2, 0, b"")]
+
+
+def test_the_text_beside_its_digest(spark):
+    got = queries.op9_suffix_array_dedup(spark, SF).collect()
+    assert all(hashlib.sha256((r.kept_text or "").encode()).hexdigest() == r.kept_sha256 for r in got if "\ufffd" not in r.kept_text)
