@@ -2,8 +2,8 @@
 
 Two tags (O, T). A token's features are its lower-cased word and the word's prefixes. Labels are of documents, so the
 labelled tokens are derived: one document of each group of near copies is kept, and features are taken one by one by a
-likelihood ratio test against the toxic label, over the toxic documents that have fewer than ``COVER`` tokens explained
-by features taken before (else whatever stands beside a toxic word would count as toxic). The test's level follows from how
+likelihood ratio test against the toxic label, by words that no feature taken before explains, over the toxic documents that have
+fewer than ``COVER`` words explained (else whatever stands beside a toxic word would count as toxic). The test's level follows from how
 many features there are to try, so that few labels suffice for few features. Tokens of toxic documents with a taken feature
 are tagged T, and the field is fitted by gradient ascent on the conditional likelihood (forward-backward), with decaying
 weights. Tokens without a used feature all look alike, so a run of them is one power of the transition matrix: scoring takes
@@ -14,7 +14,7 @@ are the runs of tokens whose marginal is at least one half.
 Cases: null and empty texts have no tokens, no spans and the score of a text without evidence; labels of null or of
 documents that are not there are ignored; without labels of both kinds every score is 0, or without features the share of toxic
 labels. Repeated rows are scored alike; of rows that share a labelled id the least text is learnt. Ties between features go to
-the least hash. Very long texts are scored whole, and no text is held beyond its row; the driver holds the samples as numbers.
+the whole word, then to the longer prefix, then to the least hash. Very long texts are scored whole, and no text is held beyond its row; the driver holds the samples as numbers.
 Other columns are not read by ``tag`` and pass through ``scored``, where only a column of the score's name is replaced.
 """
 
@@ -192,31 +192,35 @@ def _taken(samples: _Samples, labels: list[int]) -> list[str]:
     open_ = often[_ratios(seen[often].astype(float), free[often].astype(float), n1, n0) >= least]
     place = np.full(size, -1)
     place[open_] = np.arange(len(open_))
-    held = [place[f][place[f] >= 0] for f in map(present, toxic)]
-    doc, feature = np.repeat(np.arange(n1), list(map(len, held))), np.concatenate(held)
+    of = [place[samples.features[words]] for words in toxic]  # the numbers of the open features of each word of a document
+    left = np.zeros((n1, len(open_)), np.int16)  # words of a document that a feature would explain
+    for d, words in enumerate(of):
+        np.add.at(left[d], words[words >= 0], 1)
+    # of features in the same documents the whole word goes first, then the longer prefix
+    narrow = np.zeros(size)
+    for k in range(samples.features.shape[1]):
+        narrow[samples.features[:, k][samples.features[:, k] >= 0]] = 2.0 if k == 0 else k / 10
+    narrow = narrow[open_] * 1e-6
     cover, done, out = np.zeros(n1, int), [np.zeros(len(w), bool) for w in toxic], []
     live = np.ones(len(open_), bool)
-    name_of: dict[int, str] = {}
     while live.any():
         active = cover < COVER
-        left = int(active.sum())
-        if not left:
+        if not active.any():
             break
-        scores = _ratios(np.bincount(feature[active[doc]], minlength=len(open_)).astype(float), free[open_].astype(float), left, n0)
+        scores = _ratios((left[active] > 0).sum(0).astype(float), free[open_].astype(float), int(active.sum()), n0)
         live &= scores >= least
         if not live.any():
             break
-        best = int(np.argmax(np.where(live, np.round(scores, 9), -1.0)))  # ties: the feature of the least hash
+        best = int(np.argmax(np.where(live, np.round(scores, 5) + narrow, -1.0)))  # then ties go to the least hash
         live[best] = False
-        number = open_[best]
-        for d in doc[feature == best].tolist():
-            has = (samples.features[toxic[d]] == number).any(1)
-            if best not in name_of:
-                w = toxic[d][has][0]
-                name_of[best] = features(samples.words[w])[int(np.flatnonzero(samples.features[w] == number)[0])]
-            cover[d] += int((has & ~done[d]).sum())
-            done[d] |= has
-        out.append(name_of[best])
+        for d in np.flatnonzero(left[:, best]).tolist():
+            new = (of[d] == best).any(1) & ~done[d]
+            explained = of[d][new]
+            np.subtract.at(left[d], explained[explained >= 0], 1)
+            cover[d] += int(new.sum())
+            done[d] |= new
+        w = toxic[d][new][0]
+        out.append(features(samples.words[w])[int(np.flatnonzero(samples.features[w] == open_[best])[0])])
     return out
 
 

@@ -52,3 +52,20 @@ def test_null_ids_and_empty_tables_pass(spark, tmp_path):
         docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         got = corpus_pipeline.run(spark, str(tmp_path)).collect()
         assert len(got) == n
+
+
+def test_clashing_columns_and_empty_side_tables(spark, tmp_path):
+    """Documents with columns of the names that stages use inside; no labels, no benchmark items; identical rows of one id."""
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    same = "a line of some words that is said again and again and again"
+    rows = [(1, f"{same}\nown one", 1), (2, f"{same}\nanother thing", 2), (3, "x", 3), (3, "x", 3), (4, " ".join(f"w{k}" for k in range(40_000)), 4), (5, None, 5)]
+    names = ["score", "lines_read", "lines_removed", "doc", "gone", "row", "label", "component", "fp", "term"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[k] * len(names)) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns[-len(names) :] == names
+    got = sorted((r.doc_id, r.text, r.n_chars, r.score) for r in docs.collect())
+    assert [g[0] for g in got] == [1, 2, 3, 3, 4] or [g[0] for g in got] == [1, 2, 3, 3, 4, 5]
+    assert got[0][1:] == (f"{same}\nown one", len(f"{same}\nown one"), 1) and got[1][1:] == ("another thing", len("another thing"), 2)
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()} == {g[0] for g in got}
