@@ -36,12 +36,13 @@ def expansion(before: Column, after: Column) -> Column:
 def validate(rows: DataFrame, checks: dict[str, Column], key: str, examples: int = 10) -> DataFrame:
     """(category, errors, examples): failed checks with the smallest keys; a null check counts as failed, unfailed ones show 0.
 
-    Examples are the first few by rank, so a category with many errors isn't gathered.
+    Examples are the first few by rank, limited before they are shuffled; errors are counted apart, so no category is sorted whole.
     """
     spark = rows.sparkSession
     failed = rows.select(F.col(key).alias("k"), F.explode(F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))).alias("category"))
-    ranked = failed.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("k")))
-    told = ranked.groupBy("category").agg(F.count("*").alias("errors"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("k")))), ",").alias("examples"))
+    first = failed.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("k"))).where(F.col("r") <= examples)
+    shown = first.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("examples"))
+    told = failed.groupBy("category").agg(F.count("*").alias("errors")).join(shown, "category")
     return spark.createDataFrame([(n,) for n in checks], "category string").join(told, "category", "left").select("category", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 

@@ -14,8 +14,8 @@ NAN = float("nan")
 def classification(rows: DataFrame, by: list[str], label: Column, p_false: Column, p_true: Column) -> DataFrame:
     """Per group: n, accuracy, precision, recall, f1, roc_auc, failure_rate; null labels are failures.
 
-    AUC is the mid-rank statistic. Ranks come from per-score counts, so the running sum is over distinct scores; a group
-    without both labels has NaN, one without valid rows has NaN throughout. Ties of the two probabilities count as False.
+    AUC is the mid-rank statistic. Ranks come from counts per score: sums of 4,096 ranges of scores first, then running sums inside a
+    range, so no task orders the scores of a whole group; a group without both labels has NaN, one without valid rows has NaN throughout. Ties of the two probabilities count as False.
     """
     base = rows.select(*by, label.cast("int").alias("y"), (p_true > p_false).cast("int").alias("p"), p_true.alias("s"))
     one = F.lit(1)
@@ -24,8 +24,11 @@ def classification(rows: DataFrame, by: list[str], label: Column, p_false: Colum
         F.count_if(F.expr("y = 1 and p = 1")).alias("tp"), F.count_if(F.expr("y = 0 and p = 1")).alias("fp"), F.count_if(F.expr("y = 1 and p = 0")).alias("fn"),
     )
     scores = base.where("y is not null").groupBy(*by, "s").agg(F.count_if(F.expr("y = 1")).alias("pos"), F.count_if(F.expr("y = 0")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = scores.withColumn("below", below).groupBy(*by).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    scores = scores.withColumn("range", F.floor(F.col("s") * 4096))
+    upto = lambda *keys: F.coalesce(F.sum("neg").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = scores.groupBy(*by, "range").agg(F.sum("neg").alias("neg")).select(*by, "range", upto(*by, "range").alias("lower"))
+    placed = scores.withColumn("inside", upto(*by, "range", "s")).join(ranges, [*by, "range"]).withColumn("below", F.col("lower") + F.col("inside"))
+    auc = placed.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     safe = lambda a, b: F.when(F.col("valid") == 0, NAN).otherwise(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return told.join(auc, by, "left").select(
