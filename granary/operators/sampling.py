@@ -65,3 +65,16 @@ def round_robin(total: int, world: int, batch: int, spark) -> DataFrame:
     whole = per // batch * batch
     seen = spark.range(per * world).select((F.col("id") % total).alias("idx"), F.floor(F.col("id") / world).alias("turn")).where(F.col("turn") < whole).groupBy("idx").agg(F.count("*").alias("n"))
     return spark.range(total).select(F.col("id").alias("idx")).join(seen, "idx", "left").select("idx", F.col("n").isNull().alias("missed"))
+
+
+def split_off(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
+    """Rows with ``split``: val for the least ``share`` of md5 orders (rounded half to even), else train; exact counts, no global sort."""
+    one = df.withColumn("_all", F.lit(0))
+    taken = per_group(one, "_all", F.bround(F.col("_total") * share, 0).cast("long"), key, seed).select(F.col(key).alias("_taken")).withColumn("split", F.lit("val"))
+    return df.join(taken, df[key] == taken["_taken"], "left").drop("_taken").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def with_copies(df: DataFrame, name: str, names: list[str], factor: int, templates: Column, key: str, seed: int = 42) -> DataFrame:
+    """Rows of other names once, and exactly ``factor`` copies of the rows of ``names``."""
+    chosen = F.coalesce(F.col(name).isin(names), F.lit(False))
+    return df.where(~chosen).withColumns({"copy": F.lit(0), "template": F.lit(None).cast("string")}).unionByName(replicate(df.where(chosen), factor, templates, key, seed))

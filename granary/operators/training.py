@@ -87,3 +87,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+
+
+def masked_metrics(rows: DataFrame, row: str, nll: Column, p: Column, length: Column, right: Column, end: Column) -> DataFrame:
+    """Per row, over its masked tokens: loss and accuracy, and both without the tokens that are ``end``; ``length`` counts all of the answer.
+
+    The loss without ends is divided by the answer's length less its ends, by 1 at least.
+    """
+    rest = F.when(~end, nll / p)
+    ends = F.count_if(end)
+    return rows.groupBy(row).agg(
+        (F.sum(nll / p) / F.max(length)).alias("loss"), (F.coalesce(F.sum(rest), F.lit(0.0)) / F.greatest(F.max(length) - ends, F.lit(1))).alias("loss_no_end"),
+        F.avg(right.cast("double")).alias("accuracy"), F.coalesce(F.avg(F.when(~end, right.cast("double"))), F.lit(0.0)).alias("accuracy_no_end"),
+    )
+
+
+def preference_rows(theta_w: Column, ref_w: Column, theta_l: Column, ref_l: Column, average: Column, beta: float = 0.1, scale: float = 0.5, clip: float | None = None) -> Column:
+    """(r_w, r_l, margin, gamma, loss, right): rewards against the reference, the margin clipped to ``clip`` times the chosen reward,
+    a margin wanted of ``scale`` times the task's average reward, the logistic loss, and whether the chosen answer wins."""
+    r_w, r_l = beta * (theta_w - ref_w), beta * (theta_l - ref_l)
+    raw = r_w - r_l
+    margin = raw if clip is None else F.greatest(-clip * F.abs(r_w), F.least(clip * F.abs(r_w), raw))
+    gamma = scale * F.abs(F.coalesce(average, F.lit(0.0)))
+    return F.struct(r_w.alias("r_w"), r_l.alias("r_l"), margin.alias("margin"), gamma.alias("gamma"), softplus(gamma - margin).alias("loss"), (raw > 0).alias("right"))
