@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,6 @@ MARGIN = 4.0
 #: Most labelled documents of either kind that the field is fitted to.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 SEGMENT = 32
-#: Words whose weight a worker remembers at most.
-REMEMBERED = 100_000
 #: Segments whose gradient is taken at once; bounds the driver's memory.
 PART = 2048
 COVER = 12
@@ -59,6 +58,11 @@ class Field:
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     judge: tuple[float, ...] = (0.0, 10.0, 0.0, 0.0)
 
+    @cached_property
+    def starts(self) -> frozenset[str]:
+        """The first letters of all words that can have a used feature."""
+        return frozenset(f.removeprefix("=")[: min(PREFIXES)] for f in self.words)
+
     def emission(self, word: str) -> float | None:
         """Log weight of tag T against O; None if the token has no used feature."""
         used = [self.words[f] for f in features(word) if f in self.words]
@@ -328,25 +332,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, ..
     return tuple(w.tolist())
 
 
-def _doc_marginals(model: Field, words: list[str], known: dict | None = None) -> tuple[list[int], list[float]]:
-    known = {} if known is None else known
+def _doc_marginals(model: Field, words: list[str]) -> tuple[list[int], list[float]]:
+    starts, size = model.starts, min(PREFIXES)
     places, weights = [], []
-    for i, w in enumerate(words):
-        e = known.get(w, 0)
-        if e == 0:
-            e = model.emission(w.lower())
-            if len(known) < REMEMBERED:
-                known[w] = e
-        if e is not None:
+    for i, w in enumerate(map(str.lower, words)):
+        if w[:size] in starts and (e := model.emission(w)) is not None:
             places.append(i)
             weights.append(e)
     return places, marginals(model, places, weights, len(words))
 
 
-def score_text(model: Field, text: str | None, known: dict | None = None) -> tuple[float, list[tuple[int, int, float]]]:
+def score_text(model: Field, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
     """(score, spans): spans are (start, stop, largest marginal) in characters of the text."""
     words = WORD.findall(text or "")
-    places, p = _doc_marginals(model, words, known)
+    places, p = _doc_marginals(model, words)
     z = sum(a * b for a, b in zip(model.judge, measures(p, len(words)), strict=True))
     score = 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
     hot = {i: q for i, q in zip(places, p, strict=True) if q >= 0.5}
@@ -377,9 +376,8 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
     """(id, score, spans array<struct<start, stop, p>>) of every row."""
 
     def run(batches):
-        known: dict = {}
         for b in batches:
-            found = [score_text(model, t.as_py(), known) for t in b.column(1)]
+            found = [score_text(model, t.as_py()) for t in b.column(1)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
             spans = [[{"start": s, "stop": e, "p": p} for s, e, p in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array(spans, kind)], ["id", "score", "spans"])
@@ -391,9 +389,8 @@ def scored(docs: DataFrame, model: Field, name: str = "score", text_col: str = "
     """``docs`` with the score of each text as a further column ``name``."""
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict = {}
         for t in texts:
-            yield pa.array([score_text(model, x.as_py(), known)[0] for x in t], pa.float64())
+            yield pa.array([score_text(model, x.as_py())[0] for x in t], pa.float64())
 
     return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(text_col).cast("string")))
 
