@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators import audit, decontam, history, metrics, sampling, training
+from granary.operators import audit, decontam, evaluation, history, metrics, sampling, training
 from granary.sources import sinks, tables
 from granary.streaming import logs
 
@@ -169,3 +169,51 @@ def test_streams_agree_with_batch(spark, tmp_path):
     batch = history.moving_mean(base, "s", ["ts"], "x", 0.9).first()
     last = spark.sql("SELECT * FROM ema ORDER BY n DESC").first()
     assert (last.n, last.ema) == (40, pytest.approx(batch.ema))
+
+
+def test_replacement_keeps_both_tables_until_it_is_done(spark, tmp_path):
+    at = str(tmp_path / "t")
+    sinks.replace(spark.range(3), at)
+    sinks.replace(spark.range(5), at)
+    assert spark.read.parquet(at).count() == 5 and not sinks.exists(spark, f"{at}.old") and not sinks.exists(spark, f"{at}.new")
+    spark.range(7).write.parquet(f"{at}.new")  # broke off before the moves
+    sinks.recover(spark, at)
+    assert spark.read.parquet(at).count() == 7
+    sinks._move(spark, at, f"{at}.old")  # broke off between the moves, the new table not committed
+    sinks.recover(spark, at)
+    assert spark.read.parquet(at).count() == 7
+
+
+def test_sources_and_contracts_fail_by_name(spark, tmp_path):
+    with pytest.raises(ValueError, match="unknown source: nothing"):
+        tables.load(spark, "nothing", str(tmp_path))
+    with pytest.raises(ValueError, match="missing tables: b"):
+        tables.require(["a"], ["a", "b"])
+    spark.range(2).write.parquet(str(tmp_path / "there"))
+    assert tables.first_existing(spark, str(tmp_path / "missing"), str(tmp_path / "there")).endswith("there")
+    assert tables.shard_rows(spark, str(tmp_path / "there")) == 2 and tables.shard_rows(spark, str(tmp_path / "missing")) is None
+    assert tables.subtask_counts(spark, str(tmp_path)).count() == 0
+
+
+def test_steps_and_reports():
+    assert evaluation.check_steps(128, 32, 64) == 16
+    for length, block, steps in ((16, 32, 8), (128, 32, 6)):
+        with pytest.raises(ValueError):
+            evaluation.check_steps(length, block, steps)
+
+
+def test_pairs_that_must_be_there(spark):
+    rows = spark.createDataFrame([(1, [1], [2], None)], "id int, p array<int>, c array<int>, r array<int>")
+    slots, counts = evaluation.paired_slots(rows, F.col("p"), F.col("c"), F.col("r"), 4, 0)
+    assert slots.count() == 0 and [tuple(r) for r in counts.collect()] == [("no pair", 1)]
+    with pytest.raises(Exception, match="no pair"):
+        evaluation.paired_slots(rows, F.col("p"), F.col("c"), F.col("r"), 4, 0, require=True)[0].collect()
+    with pytest.raises(ValueError, match="report"):
+        sinks.markdown(spark.range(5), most=4)
+
+
+def test_samples_of_null_groups(spark):
+    df = spark.createDataFrame([(None, k) for k in range(9)] + [("a", 20)], "g string, k int")
+    assert sampling.per_group(df, "g", F.lit(4), "k").groupBy("g").count().orderBy("g").collect()[0]["count"] == 4
+    pairs = {(r.k, r.partner) for r in sampling.paired(df, "g", "k").collect()}
+    assert len(pairs) == 9 and {a for a, _ in pairs} == {b for _, b in pairs} == set(range(9))
