@@ -26,4 +26,13 @@ reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l O
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept FROM v
 LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) x ON x.a = vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) y ON y.a = vec_id"""
 
-ORACLES = {"op1_benchmark_decontamination": OP1, "op2_chat_formatting": OP2, "op5_embedding_near_dedup": OP5}
+OP13 = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+k AS (SELECT *, CAST('0x' || substr(md5('13,' || coalesce(CAST(doc_id AS VARCHAR), '') || ',' || size), 1, 15) AS BIGINT) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM k GROUP BY source),
+f AS (SELECT *, sum(z) OVER () AS t, sum(w) OVER () AS ws, 3 * (w * sum(z) OVER o + z * (sum(w) OVER () - sum(w) OVER o)) < w * sum(z) OVER () AS is_full FROM s WINDOW o AS (ORDER BY CAST(z AS DOUBLE) / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT source, z, CASE WHEN is_full THEN 3.0 * CAST(z AS DOUBLE) ELSE least(CAST(t - 3 * coalesce(sum(z) FILTER (is_full) OVER (), 0) AS DOUBLE) * w / CAST(ws - coalesce(sum(w) FILTER (is_full) OVER (), 0) AS DOUBLE), 3.0 * CAST(z AS DOUBLE)) END AS target FROM f),
+p AS (SELECT source, z, target, CASE WHEN z > 0 THEN CAST(floor(target) AS BIGINT) // z ELSE 0 END AS epochs, CAST(floor(target) AS BIGINT) AS budget FROM g)
+SELECT doc_id, size, z AS source_size, CAST(target AS DOUBLE) AS target, CAST(epochs * size + greatest(0, least(size, budget - epochs * z - (sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size))) AS BIGINT) AS taken
+FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source"""
+
+ORACLES = {"op1_benchmark_decontamination": OP1, "op2_chat_formatting": OP2, "op5_embedding_near_dedup": OP5, "op13_source_mixing": OP13}
