@@ -26,6 +26,13 @@ reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l O
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept FROM v
 LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) x ON x.a = vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) y ON y.a = vec_id"""
 
+OP11 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(CAST(c AS DOUBLE) * 256)) AS e FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) QUALIFY row_number() OVER w <= 5"""
+
 OP13 = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 k AS (SELECT *, CAST('0x' || substr(md5('13,' || coalesce(CAST(doc_id AS VARCHAR), '') || ',' || size), 1, 15) AS BIGINT) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM k GROUP BY source),
@@ -35,4 +42,24 @@ p AS (SELECT source, z, target, CASE WHEN z > 0 THEN CAST(floor(target) AS BIGIN
 SELECT doc_id, size, z AS source_size, CAST(target AS DOUBLE) AS target, CAST(epochs * size + greatest(0, least(size, budget - epochs * z - (sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size))) AS BIGINT) AS taken
 FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source"""
 
-ORACLES = {"op1_benchmark_decontamination": OP1, "op2_chat_formatting": OP2, "op5_embedding_near_dedup": OP5, "op13_source_mixing": OP13}
+
+
+def _op12(rounds: int = 2) -> str:
+    """Lloyd's rounds with every distance measured."""
+    near = "{a} AS (SELECT rid, part, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d FROM (SELECT x.rid, x.part, b.e, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS BIGINT) AS d FROM x JOIN {b} b USING (part)) GROUP BY rid, part)"
+    moved = "{c} AS (SELECT b.part, b.e, coalesce(m.v, b.v) AS v FROM {b} b LEFT JOIN (SELECT part, e, list(m ORDER BY i) AS v FROM (SELECT x.part, a.e, i, CAST(floor(CAST(sum(x.v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM x JOIN {a} a USING (rid, part), (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM x))) AS i) GROUP BY x.part, a.e, i) GROUP BY part, e) m ON b.part = m.part AND b.e = m.e)"
+    steps = []
+    for k in range(rounds):
+        steps += [near.format(a=f"a{k}", b=f"b{k}"), moved.format(a=f"a{k}", b=f"b{k}", c=f"b{k + 1}")]
+    steps.append(near.format(a="fin", b=f"b{rounds}"))
+    return f"""WITH good AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS w FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT rid, p AS part, list_slice(w, p * (len(w) // 16) + 1, (p + 1) * (len(w) // 16)) AS v FROM good, range(16) r(p)),
+b0 AS (SELECT part, rid - 1 AS e, v FROM x WHERE rid <= 64),
+{", ".join(steps)},
+told AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM fin GROUP BY rid),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM told JOIN good USING (rid), book"""
+
+
+ORACLES = {"op1_benchmark_decontamination": OP1, "op2_chat_formatting": OP2, "op5_embedding_near_dedup": OP5, "op11_hard_negatives": OP11, "op12_vector_codes": _op12(), "op13_source_mixing": OP13}
