@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators import ranks
+from granary.sources.shared import stored
+
 
 def merge_first(rows: DataFrame, key: list[str], order: list[str], index: str) -> DataFrame:
     """The first row of each key in order; rows whose ``index`` is negative have no identity and all stay."""
@@ -31,16 +32,16 @@ def first_match(rows: DataFrame, condition: Column, order: str) -> DataFrame:
 
 
 def moving_mean(rows: DataFrame, task: str, order: list[str], x: str, alpha: float) -> DataFrame:
-    """(task, n, ema): v = alpha v + (1 - alpha) x over the ordered rows; the first value starts it.
+    """(task, n, ema): v = alpha v + (1 - alpha) x over all ordered rows; the first value starts it.
 
-    The fold is a weighted sum with weights alpha^(n-k). They fall below the precision of the sum after a number of rows that
-    depends on alpha alone (420 for 0.9), so each task keeps its last rows only and none sorts a whole group.
+    The fold is a sum of all values with weights alpha^(n-k); places k come from ``ranks.numbered``, so no task sorts a whole group.
+    Infinite values stay, as in a fold, and null values are skipped.
     """
-    last = math.ceil(44 / -math.log(alpha))
-    ranked = rows.withColumn("_d", F.row_number().over(Window.partitionBy(task).orderBy(*[F.desc(c) for c in order]))).where(F.col("_d") <= last)
-    sizes = rows.groupBy(task).agg(F.count("*").alias("n"))
-    weight = F.when(F.col("_d") == F.col("n"), 1.0).otherwise(1 - alpha) * F.pow(F.lit(alpha), F.col("_d") - 1)
-    return ranked.join(sizes, task).groupBy(task).agg(F.first("n").alias("n"), F.sum(weight * F.col(x)).alias("ema"))
+    placed = ranks.numbered(rows.where(F.col(x).isNotNull()).select(task, *dict.fromkeys([*order, x])), [task], [F.col(c) for c in order], place="_k")
+    sizes = placed.groupBy(F.col(task).alias("_task")).agg(F.count("*").alias("n"))
+    weight = F.when(F.col("_k") == 1, 1.0).otherwise(1 - alpha) * F.pow(F.lit(alpha), F.col("n") - F.col("_k"))
+    value = F.when(F.abs(x) == float("inf"), F.col(x)).otherwise(weight * F.col(x))
+    return placed.join(sizes, F.col(task).eqNullSafe(F.col("_task"))).groupBy(task).agg(F.first("n").alias("n"), F.sum(value).alias("ema"))
 
 
 def flushed_means(rows: DataFrame, by: list[str], step: Column, every: int, x: str) -> DataFrame:
@@ -49,16 +50,21 @@ def flushed_means(rows: DataFrame, by: list[str], step: Column, every: int, x: s
 
 
 def contiguous(rows: DataFrame, scope: str, value: str, order: str) -> DataFrame:
-    """(value, runs, contiguous): in how many runs of the ordered rows of a scope each value appears."""
-    before = F.lag(value).over(Window.partitionBy(scope).orderBy(order))
-    starts = rows.withColumn("_starts", (~before.eqNullSafe(F.col(value))).cast("int"))
+    """(value, runs, contiguous): in how many runs of the ordered rows of a scope each value appears.
+
+    Rows are placed over ranges, and each meets the one before it by its place, so a scope isn't one task's work.
+    """
+    placed = stored(ranks.numbered(rows.select(scope, value, order), [scope], [F.col(order)], place="_k"))
+    before = placed.select(F.col(scope).alias("_s"), F.col(value).alias("_v"), (F.col("_k") + 1).alias("_next"))
+    met = placed.join(before, F.col(scope).eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_next")), "left")
+    starts = met.withColumn("_starts", (F.col("_next").isNull() | ~F.col("_v").eqNullSafe(F.col(value))).cast("int"))
     return starts.groupBy(scope, value).agg(F.sum("_starts").alias("runs")).withColumn("contiguous", F.col("runs") == 1)
 
 
 def ordinal(rows: DataFrame, scope: str, order: str, flag: Column) -> DataFrame:
     """Rows with the ordinal from 0 among flagged rows of the scope; null where the flag is off."""
-    upto = F.sum(flag.cast("int")).over(Window.partitionBy(scope).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("ordinal", F.when(flag, upto - 1))
+    told = ranks.numbered(rows.withColumn("_flag", flag.cast("int")), [scope], [F.col(order)], {"_upto": F.col("_flag")}, "_k")
+    return told.withColumn("ordinal", F.when(F.col("_flag") == 1, F.col("_upto") - 1)).drop("_flag", "_upto", "_k")
 
 
 def top_k(rows: DataFrame, scope: str, value: str, tie: str, k: int) -> DataFrame:

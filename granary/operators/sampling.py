@@ -68,10 +68,22 @@ def round_robin(total: int, world: int, batch: int, spark) -> DataFrame:
 
 
 def split_off(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
-    """Rows with ``split``: val for the least ``share`` of md5 orders (rounded half to even), else train; exact counts, no global sort."""
-    one = df.withColumn("_all", F.lit(0))
-    taken = per_group(one, "_all", F.bround(F.col("_total") * share, 0).cast("long"), key, seed).select(F.col(key).alias("_taken")).withColumn("split", F.lit("val"))
-    return df.join(taken, df[key] == taken["_taken"], "left").drop("_taken").withColumn("split", F.coalesce("split", F.lit("train")))
+    """Rows with ``split``: val for the least ``share`` of md5 orders (rounded half to even), else train; exact counts, no global sort.
+
+    Every row gets its mark once, also where keys repeat: buckets before the share's end are val and those behind it train, and only rows
+    of the bucket in between are ranked.
+    """
+    dealt = _dealt(df, "", key, seed)
+    w = Window.orderBy("_bucket")  # 4,096 rows at most
+    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_in"))
+    n = F.bround(F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * share, 0).cast("long")
+    before = F.coalesce(F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = counts.select(F.col("_bucket").alias("_b"), "_in", (n - before).alias("_left"))
+    placed = dealt.join(told, F.col("_bucket") == F.col("_b"))
+    whole = placed.where("_left <= 0 or _left >= _in").withColumn("split", F.when(F.col("_left") > 0, "val").otherwise("train"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key))
+    cut = placed.where("_left > 0 and _left < _in").withColumn("split", F.when(rank <= F.col("_left"), "val").otherwise("train"))
+    return whole.unionByName(cut).select(*df.columns, "split")
 
 
 def with_copies(df: DataFrame, name: str, names: list[str], factor: int, templates: Column, key: str, seed: int = 42) -> DataFrame:

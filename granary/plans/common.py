@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import entity_key
+from granary.sources.shared import scratch as scratch
 from granary.sources.tables import hashed_split, load
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one; a local one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        shared = tempfile.mkdtemp(prefix="granary-")
-    return f"{shared.rstrip('/')}/queries/{uuid.uuid4().hex}"
-
-
 def task_rows(spark: SparkSession, sf: str) -> DataFrame:
     """documents as (doc_id, task = lang, split by md5, source, n_chars, key = md5 of the normalised text)."""
     return load(spark, "documents", sf).select(
