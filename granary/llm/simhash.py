@@ -196,11 +196,16 @@ def whole_keys(batches, columns: int, key: int, rows: int = 32_768):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
     """(id, fp, component): every row of ``docs`` with the smallest id that links of at most ``budget`` bits reach.
 
-    Null and blank texts have fingerprint 0 and link like any other; rows with a null id take part with their text but
-    can't be a component's smallest id. Repeated rows come back as often as they are there; an empty table gives none.
+    Null and blank texts have fingerprint 0 and link like any other. Rows with a null id link others as any row does, but
+    can't be a component's smallest id: the component is null where no row has one (ids are below 7 * 2**60). Repeated rows come back
+    as often as they are there, all in one component (ties by fingerprint are no case: equal ones are one node). Very long texts are
+    read whole, one at a time. Only the two named columns are read, so others never clash; an empty table gives no rows.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints")
-    reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    found = components(trie_join(reps.where("rep is not null"), budget))
-    classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    # fingerprints that only rows without an id have are nodes beyond all ids
+    nameless = F.lit(2**63 - 1) - F.pmod(F.xxhash64("fp"), F.lit(2**60))
+    reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", F.coalesce("rep", nameless).alias("rep")), "reps")
+    found = components(trie_join(reps, budget))
+    least = F.coalesce("component", "rep")
+    classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.when(least < 2**63 - 1 - 2**60, least).alias("component"))
     return prints.join(classes, "fp").select("id", "fp", "component")

@@ -6,7 +6,9 @@ memory. Multinomial naive Bayes, trained on ``EXAMPLES``, scores the words; it i
 Segmenting and scoring are done once per distinct host and path skeleton (digits left out), then joined to the pages.
 
 Cases: a null url, or one without ``://``, has empty host and path and no words, so no rule and the prior's verdict
-(allow). Repeated rows are judged alike; a null html adds no counts; empty tables give empty results.
+(allow). Repeated rows are judged alike; a null html adds no counts; empty tables give empty results. Names of any length are split, since
+Viterbi looks back ``LONGEST`` characters only. Of equally likely splits the one with the longer last word is taken; of two fitting rules the
+longer, and two of one length can't both fit. Further columns come back as they are, under any names but those of the result, which replace them.
 """
 
 from __future__ import annotations
@@ -116,18 +118,20 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, examples: dict[str, tuple[str, ...]] = EXAMPLES) -> DataFrame:
     """All columns but the html, then host, path, rule, verdict, words and score (log odds of block)."""
+    taken = {c.lower() for c in pages.columns}
+    skeleton = next(name for name in ("_" * k + "skeleton" for k in range(1, len(taken) + 2)) if name not in taken)
     keep = [c for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict", "words", "score")]
-    parsed = pages.select(*[F.col(f"`{c}`") for c in keep], host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path")).withColumn("_skeleton", F.regexp_replace(F.lower("path"), r"[^\p{L}]+", "/"))
-    kinds = stored(parsed.select("host", "_skeleton").distinct(), "skeletons")
-    named = kinds.select("host", "_skeleton", F.explode(F.filter(F.split(F.concat_ws("/", "host", "_skeleton"), r"[^\p{L}]+"), lambda w: w != "")).alias("name"))
+    parsed = pages.select(*[F.col(f"`{c}`") for c in keep], host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path")).withColumn(skeleton, F.regexp_replace(F.lower("path"), r"[^\p{L}]+", "/"))
+    kinds = stored(parsed.select("host", skeleton).distinct(), "skeletons")
+    named = kinds.select("host", skeleton, F.explode(F.filter(F.split(F.concat_ws("/", "host", skeleton), r"[^\p{L}]+"), lambda w: w != "")).alias("name"))
     words = segment(named.select("name").distinct(), stored(word_counts(pages, html_col, examples), "words"))
     weights = bayes(examples)
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     prior = math.log(PRIOR_BLOCK / (1 - PRIOR_BLOCK))
-    split = named.join(words, "name").groupBy("host", "_skeleton").agg(F.array_sort(F.flatten(F.collect_list("words"))).alias("words"))
+    split = named.join(words, "name").groupBy("host", skeleton).agg(F.array_sort(F.flatten(F.collect_list("words"))).alias("words"))
     scored = stored(split.withColumn("score", F.aggregate("words", F.lit(prior), lambda s, w: s + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))), "scored")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    joined = parsed.join(scored, ["host", "_skeleton"], "left")
+    joined = parsed.join(scored, ["host", skeleton], "left")
     score = F.coalesce("score", F.lit(prior))
     verdict = F.coalesce(said, F.when(score > 0, "block").otherwise("allow"))
     return joined.select(*[F.col(f"`{c}`") for c in keep], "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.coalesce("words", F.array().cast("array<string>")).alias("words"), score.alias("score"))

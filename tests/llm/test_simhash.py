@@ -88,3 +88,11 @@ def test_edges(spark):
     by = {r.id: r.component for r in got}
     assert len(got) == 9 and by[1] == by[2] == by[3] == 1 and by[4] == by[6] == 4 and by[5] == 5
     assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    rows = [(1, 0x0), (None, 0xF), (2, 0xFF), (None, 0xF), (9, 0x7FFF0000FFFF0000), (None, 0x5555555555555555)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "id long, fp long")).collect()
+    assert sorted((r.fp, r.component) for r in found if r.fp < 0x100) == [(0x0, 1), (0xF, 1), (0xF, 1), (0xFF, 1)]
+    assert {r.fp: r.component for r in found if r.fp > 0x100} == {0x7FFF0000FFFF0000: 9, 0x5555555555555555: None}

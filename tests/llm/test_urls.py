@@ -93,3 +93,9 @@ def test_names_left_out_of_training():
                 tried += 1
                 right += (prior + sum(weights.get(w, 0.0) for w in name.split()) > 0) == (kind == "block")
     assert tried >= 40 and right >= 0.9 * tried
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows = [(1, "http://a.org/fr/x", "<p>a</p>", "mine", "theirs", "old")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, _skeleton string, __skeleton string, rule string")).first()
+    assert (got["_skeleton"], got["__skeleton"], got["rule"], got["verdict"]) == ("mine", "theirs", "org/fr/", "allow")
