@@ -11,6 +11,7 @@ from granary.functions.taxonomy import task_kind
 from granary.functions.text import boolean_tag, float_tag, tag_content_open
 from granary.operators import metrics
 from granary.operators.rowmaps import Form, in_words
+from granary.operators.texts import text_scores
 
 CAPTION_TAGS = ("DESCRIPTION", "IUPAC", "MOLFORMULA")
 
@@ -44,9 +45,7 @@ def captions(rows: DataFrame, by: list[str], label: Column, prediction: Column)
     told = rows.select(*by, words(read(label)).alias("ref"), words(read(prediction)).alias("hyp"))
     good = told.where("ref is not null and hyp is not null")
     out = told.groupBy(*by).agg(F.count("*").alias("n"), (F.count_if(F.expr("ref is null or hyp is null")) / F.count("*")).alias("failure_rate"))
-    parts = [metrics.corpus_bleu(good, by, k).withColumnRenamed("bleu", f"bleu{k}") for k in (2, 4)]
-    parts += [metrics.rouge_n(good, by, k).withColumnRenamed("rouge", f"rouge{k}") for k in (1, 2)] + [metrics.rouge_l(good, by).withColumnRenamed("rouge", "rouge_l")]
-    return reduce(lambda a, b: a.join(b, by, "left"), parts, out).na.fill(0.0)
+    return out.join(text_scores(good, by).drop("n"), by, "left").na.fill(0.0)
 
 
 def evaluate(rows: DataFrame, canonical: Form = in_words) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.texts import text_scores
+
 NAN = float("nan")
 
 
@@ -48,62 +47,19 @@ def regression(rows: DataFrame, by: list[str], label: Column, prediction: Column
     )
 
 
-def _clipped(most: int):
-    """(ref, hyp) word arrays -> per n up to ``most``: clipped matches, n-grams of hyp, n-grams of ref; a row at a time, so nothing is shuffled."""
-
-    def run(refs: pa.Array, hyps: pa.Array) -> pa.Array:
-        out = []
-        for ref, hyp in zip(refs, hyps, strict=True):
-            ref, hyp = ref.as_py() or [], hyp.as_py() or []
-            told = []
-            for n in range(1, most + 1):
-                a, b = (Counter(zip(*(words[k:] for k in range(n)), strict=False)) for words in (hyp, ref))
-                told += [sum(min(c, b[g]) for g, c in a.items() if g in b), max(len(hyp) - n + 1, 0), max(len(ref) - n + 1, 0)]
-            out.append(told)
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return F.arrow_udf(run, "array<long>")
-
-
 def corpus_bleu(rows: DataFrame, by: list[str], most: int = 4) -> DataFrame:
     """(by, bleu): corpus BLEU x 100 of rows (by, ref, hyp word arrays); sums first, then the geometric mean, no smoothing."""
-    told = rows.select(*by, F.size("ref").alias("r"), F.size("hyp").alias("c"), _clipped(most)(F.col("ref"), F.col("hyp")).alias("k"))
-    sums = [F.sum(F.col("k")[3 * (n - 1) + i]).alias(f"{x}{n}") for n in range(1, most + 1) for i, x in enumerate("mt")]
-    out = told.groupBy(*by).agg(F.sum("r").alias("r"), F.sum("c").alias("c"), *sums)
-    any_zero = F.least(*[F.col(f"m{n}") for n in range(1, most + 1)], F.lit(1)) == 0
-    logs = sum((F.log(F.col(f"m{n}") / F.col(f"t{n}")) / most for n in range(1, most + 1)), F.lit(0.0))
-    brevity = F.when(F.col("c") >= F.col("r"), 0.0).otherwise(1 - F.col("r") / F.col("c"))
-    return out.select(*by, F.when(any_zero, 0.0).otherwise(100 * F.exp(brevity + logs)).alias("bleu"))
+    return text_scores(rows, by, (most,), (), False).select(*by, F.col(f"bleu{most}").alias("bleu"))
 
 
 def rouge_n(rows: DataFrame, by: list[str], n: int = 1) -> DataFrame:
     """(by, rouge): mean over rows (ref, hyp word arrays) of the n-gram F score x 100."""
-    k = F.slice(_clipped(n)(F.col("ref"), F.col("hyp")), -3, 3)
-    f = F.coalesce(2 * F.col("k")[0] / F.nullif(F.col("k")[1] + F.col("k")[2], F.lit(0)), F.lit(0.0))
-    return rows.select(*by, k.alias("k")).groupBy(*by).agg((100 * F.avg(f)).alias("rouge"))
-
-
-def common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence: a row of the table as the bits of an integer."""
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for x in b:
-        u = v & places.get(x, 0)
-        v = (v + u | v - u) & full
-    return len(a) - v.bit_count()
-
-
-def _lcs(refs: pa.Array, hyps: pa.Array) -> pa.Array:
-    return pa.array([common_subsequence(a.as_py() or [], b.as_py() or []) for a, b in zip(refs, hyps, strict=True)], pa.int64())
+    return text_scores(rows, by, (), (n,), False).select(*by, F.col(f"rouge{n}").alias("rouge"))
 
 
 def rouge_l(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, rouge): mean F score of longest common subsequences x 100 of rows (ref, hyp word arrays)."""
-    told = rows.select(*by, (F.size("ref") + F.size("hyp")).alias("n"), F.arrow_udf(_lcs, "long")(F.col("ref"), F.col("hyp")).alias("k"))
-    return told.groupBy(*by).agg((100 * F.avg(F.coalesce(2 * F.col("k") / F.nullif("n", F.lit(0)), F.lit(0.0)))).alias("rouge"))
+    return text_scores(rows, by, (), (), True).select(*by, F.col("rouge_l").alias("rouge"))
 
 
 def preference(rows: DataFrame, task: str, chosen: Column, rejected: Column) -> DataFrame:

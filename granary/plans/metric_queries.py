@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import history, metrics
+from granary.operators import history, metrics, texts
 from granary.plans.common import PAIRS, SCORED, Query, caption_pairs, scored
 from granary.sources.tables import load
 
@@ -92,6 +92,8 @@ QUERIES: dict[str, Query] = {
     ),
     "corpus_bleu": (_bleu, BLEU),
     "rouge_n": (lambda s, d: _rounded(metrics.rouge_n(caption_pairs(s, d), ["task"], 2), "rouge"), ROUGE),
+    "caption_scores": (lambda s, d: _rounded(texts.text_scores(caption_pairs(s, d), ["task"]), "bleu2", "bleu4", "rouge1", "rouge2", "rouge_l"), None),
+    "meteor": (lambda s, d: caption_pairs(s, d).groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg(texts.meteor(F.col("ref"), F.col("hyp"))), 6).alias("meteor")), None),
     "rouge_l": (lambda s, d: _rounded(metrics.rouge_l(caption_pairs(s, d), ["task"]), "rouge"), None),
     "gdr_grouping_sets": (
         lambda s, d: _rounded(metrics.preference(_events(s, d), "event_type", F.col("value"), F.lit(50.0)), "accuracy", "r_w", "r_l", "margin", to=4),

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators import audit, decontam, evaluation, history, metrics, sampling, training
+from granary.operators import audit, decontam, evaluation, history, metrics, sampling, texts, training
 from granary.sources import sinks, tables
 from granary.streaming import logs
 
@@ -106,7 +106,7 @@ def lcs(a, b):
 @given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abc"), max_size=6)), min_size=1, max_size=6))
 def test_longest_common_subsequence(spark, pairs):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
-    got = [metrics.common_subsequence(r.a, r.b) for r in df.orderBy("i").collect()]
+    got = [texts.common_subsequence(r.a, r.b) for r in df.orderBy("i").collect()]
     assert got == [lcs(a, b) for a, b in pairs]
 
 
