@@ -124,58 +124,81 @@ def stem(word: Column) -> Column:
     return F.when((bare != plural) & bare.rlike("([^aeiouylsz])\\1$"), F.regexp_replace(bare, "(.)$", "")).otherwise(bare)
 
 
-def align(ref: list, hyp: list, fixed: dict[int, int], beam: int) -> dict[int, int]:
-    """``fixed`` (hyp place -> ref place) and the most further matches of equal keys among the free places, in the fewest chunks.
-
-    Places of hyp are gone through in order; a state is what has been used and left out of the keys that have a choice, and the last
-    match. The ``beam`` best states are kept: within it the result is the least, beyond it the best that was found.
-    """
-    taken = set(fixed.values())
-    spots: dict = {}
+def _free_spots(ref: list, hyp: list, fixed: dict[int, int]) -> tuple[dict, dict]:
+    """(key -> free ref places, key -> how many free hyp places ask for it) of the keys that both sides have."""
+    taken, spots, asked = set(fixed.values()), {}, {}
     for j, x in enumerate(ref):
         if x is not None and j not in taken:
             spots.setdefault(x, []).append(j)
-    asked: dict = {}
     for i, x in enumerate(hyp):
-        if x is not None and i not in fixed and x in spots:
+        if i not in fixed and x in spots:
             asked[x] = asked.get(x, 0) + 1
-    spare = {x: max(0, n - len(spots[x])) for x, n in asked.items()}
-    # state: (last ref place or -2, used choice places, keys left out) -> (chunks, matches as a linked list)
-    states: dict = {(-2, frozenset(), ()): (0, None)}
-    last_of = {x: max(i for i, y in enumerate(hyp) if y == x and i not in fixed) for x in asked if len(spots[x]) > 1 or spare[x]}
+    return {x: spots[x] for x in asked}, asked
+
+
+def follow(ref: list, hyp: list, fixed: dict[int, int]) -> dict[int, int]:
+    """``fixed`` and the most further matches, in one pass: a match goes on where the last one ended, else it begins where the next
+    word follows too, else at the first free place. As many matches as can be, not always in the fewest chunks."""
+    spots, _ = _free_spots(ref, hyp, fixed)
+    out, used = dict(fixed), set(fixed.values())
+    firsts = {x: iter(places) for x, places in spots.items()}
+    pairs: dict = {}
+    for x, places in spots.items():
+        for j in places:
+            if j + 1 < len(ref):
+                pairs.setdefault((x, ref[j + 1]), []).append(j)
+    runs = {k: iter(places) for k, places in pairs.items()}
+
+    def unused(places):
+        return next((j for j in places if j not in used), None)
+
     for i, x in enumerate(hyp):
-        after: dict = {}
+        if i in fixed or x not in spots:
+            continue
+        j = out.get(i - 1, -2) + 1
+        if not (0 <= j < len(ref) and ref[j] == x and j not in used):
+            j = unused(runs.get((x, hyp[i + 1]), ())) if i + 1 < len(hyp) else None
+            j = unused(firsts[x]) if j is None else j
+        if j is not None:
+            out[i] = j
+            used.add(j)
+    return out
+
 
-        def put(j, used, left, chunks, path, i=i, after=after):
-            key = (j, used, left)
-            if key not in after or chunks < after[key][0]:
-                after[key] = (chunks, path)
+def align(ref: list, hyp: list, fixed: dict[int, int], most: int = 512) -> dict[int, int]:
+    """``fixed`` (hyp place -> ref place) and the most further matches of equal keys among the free places, in the fewest chunks.
 
-        free = i not in fixed and x in asked
-        for (last, used, left), (chunks, path) in states.items():
+    Places of hyp are gone through in order; a state is which places of the keys with a choice are used, which keys were left out how
+    often, and the last match. If that takes more than ``most`` states, ``follow`` aligns the texts instead.
+    """
+    spots, asked = _free_spots(ref, hyp, fixed)
+    choice = {x for x in spots if len(spots[x]) > 1 or asked[x] > 1}
+    if sum(len(spots[x]) for x in choice) > 64:
+        return follow(ref, hyp, fixed)
+    bit = {j: 1 << k for k, j in enumerate(j for x in choice for j in spots[x])}
+    spare = {x: max(0, asked[x] - len(spots[x])) for x in spots}
+    last_of = {x: i for i, x in enumerate(hyp) if x in choice and i not in fixed}
+    # state: (last ref place or -2, used places as bits, keys left out) -> (chunks, matches as a linked list)
+    states: dict = {(-2, 0, ()): (0, None)}
+    for i, x in enumerate(hyp):
+        after: dict = {}
+        over = sum(bit[j] for j in spots[x]) if last_of.get(x) == i else 0  # nothing asks for the key's places again
+        for (last, used, left), (count, path) in states.items():
             if i in fixed:
-                put(fixed[i], used, left, chunks + (fixed[i] != last + 1), path)
-                continue
-            if not free:
-                put(-2, used, left, chunks, path)
-                continue
-            out = sum(1 for y in left if y == x)
-            if out < spare[x]:
-                put(-2, used, tuple(sorted((*left, x), key=str)), chunks, path)
-            for j in spots[x]:
-                if j not in used:
-                    more = used | {j} if x in last_of else used
-                    put(j, more, left, chunks + (j != last + 1), (i, j, path))
-        if x in last_of and last_of[x] == i:  # nothing asks for the key's places again
-            gone = set(spots[x])
-            merged: dict = {}
-            for (last, used, left), (chunks, path) in after.items():
-                key = (last, used - gone, tuple(y for y in left if y != x))
-                if key not in merged or chunks < merged[key][0]:
-                    merged[key] = (chunks, path)
-            after = merged
-        if len(after) > beam:
-            after = dict(sorted(after.items(), key=lambda s: (s[1][0], s[0][0]))[:beam])
+                options = [(fixed[i], used, left, path)]
+            elif x not in spots:
+                options = [(-2, used, left, path)]
+            else:
+                options = [(j, used | bit.get(j, 0), left, (i, j, path)) for j in spots[x] if not used & bit.get(j, 0)]
+                if left.count(x) < spare[x]:
+                    options.append((-2, used, tuple(sorted((*left, x), key=str)), path))
+            for j, now, out, way in options:
+                state = (j, now & ~over, tuple(y for y in out if y != x) if over else out)
+                cost = count + (j >= 0 and j != last + 1)
+                if state not in after or cost < after[state][0]:
+                    after[state] = (cost, way)
+        if len(after) > most:
+            return follow(ref, hyp, fixed)
         states = after
     out, path = dict(fixed), min(states.values(), key=lambda s: s[0])[1]
     while path is not None:
@@ -188,11 +211,11 @@ def chunks(matches: dict[int, int]) -> int:
     return sum(1 for i, j in matches.items() if matches.get(i - 1) != j - 1 or i - 1 not in matches)
 
 
-def meteor(ref: Column, hyp: Column, synonyms: DataFrame | None = None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, beam: int = 8) -> Column:
+def meteor(ref: Column, hyp: Column, synonyms: DataFrame | None = None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, most: int = 64) -> Column:
     """METEOR of word arrays: words align if they are equal, then by stem, then by class of ``synonyms`` (a small table (word, class)).
 
     F is P R / (alpha P + (1 - alpha) R), less gamma (chunks / matches)^beta of it; 0 without a match. Each stage aligns as many of
-    the words still free as it can, in the fewest chunks of all matches so far. A synonym table of more than 100,000 words fails.
+    the words still free as it can, in the fewest chunks of all matches so far (``align``; texts of many repeated words by ``follow``). A synonym table of more than 100,000 words fails.
     """
     stages = [hashes(ref), hashes(hyp), F.transform(ref, lambda w: F.xxhash64(stem(w))), F.transform(hyp, lambda w: F.xxhash64(stem(w)))]
     if synonyms is not None:
@@ -207,11 +230,11 @@ def meteor(ref: Column, hyp: Column, synonyms: DataFrame | None = None, alpha: f
         out = []
         for cells in zip(r, h, r_stem, h_stem, strict=True):
             a, b, a_stem, b_stem = (c.as_py() or [] for c in cells)
-            found = align(a, b, {}, beam)
+            found = align(a, b, {}, most)
             if len(found) < min(len(a), len(b)):
-                found = align(a_stem, b_stem, found, beam)
+                found = align(a_stem, b_stem, found, most)
             if classes and len(found) < min(len(a), len(b)):
-                found = align([classes.get(w) for w in a], [classes.get(w) for w in b], found, beam)
+                found = align([classes.get(w) for w in a], [classes.get(w) for w in b], found, most)
             if not found:
                 out.append(0.0)
                 continue

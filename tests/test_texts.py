@@ -78,8 +78,8 @@ def test_alignments_are_the_best(letters):
         c, d = ([x if x in "ab" else "c" for x in s] for s in (a, b))
         second = texts.align(c, d, first, 10**6)
         assert first.items() <= second.items() and (-len(second), texts.chunks(second)) == best(c, d, first)
-        narrow = texts.align(a, b, {}, 2)
-        assert len(narrow) == len(first)
+        plainer = texts.follow(a, b, {})
+        assert len(plainer) == len(first) == len(set(plainer.values())) and all(a[j] == b[i] for i, j in plainer.items())
 
 
 def test_meteor(spark):
