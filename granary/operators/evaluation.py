@@ -12,6 +12,7 @@ from granary.functions.text import boolean_tag, float_tag, tag_content_open
 from granary.operators import metrics
 from granary.operators.rowmaps import Form, in_words
 from granary.operators.texts import text_scores
+from granary.sources.shared import stored
 
 CAPTION_TAGS = ("DESCRIPTION", "IUPAC", "MOLFORMULA")
 
@@ -99,12 +100,12 @@ def check_steps(length: int, block: int, steps: int) -> int:
     return steps // blocks
 
 
-def paired_slots(rows: DataFrame, prompt: Column, chosen: Column, rejected: Column, most: int, end: int, division: int = 2, require: bool = False) -> tuple[DataFrame, DataFrame]:
+def paired_slots(rows: DataFrame, prompt: Column, chosen: Column, rejected: Column, most: int, end: int, division: int = 2, require: bool = False, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(slots, counts): token arrays of pairs as two or three rows each, and how many rows were left out and why.
 
     Slots are chosen and rejected, and with ``division`` 3 the supervised copy of the chosen first; a slot is prompt, answer and
     ``end``, cut at ``most`` and padded with ``end``; labels are -100 over the prompt. Rows without a pair or with an answer that the
-    cut leaves empty are counted; with ``require`` a missing pair fails the query.
+    cut leaves empty are counted (for each batch ``by``); with ``require`` a missing pair fails the query. ``check_pairs`` fails where none is kept.
     """
     if division not in (2, 3):
         raise ValueError("pairs take two or three slots")
@@ -114,7 +115,7 @@ def paired_slots(rows: DataFrame, prompt: Column, chosen: Column, rejected: Colu
     if require:
         why = F.when(missing, F.raise_error(F.lit("a row has no pair"))).otherwise(why)
     told = rows.withColumn("_why", why)
-    counts = told.groupBy(F.coalesce("_why", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+    counts = told.groupBy(*[by] * bool(by), F.coalesce("_why", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
     names = [("sft", chosen)] * (division == 3) + [("chosen", chosen), ("rejected", rejected)]
     slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(n).alias("role"), a.alias("answer")) for k, (n, a) in enumerate(names)])
     split = told.where("_why is null").withColumn("_s", F.explode(slots))
@@ -125,11 +126,39 @@ def paired_slots(rows: DataFrame, prompt: Column, chosen: Column, rejected: Colu
     return split.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_s.slot").alias("slot"), F.col("_s.role").alias("role"), ids.alias("ids"), labels.alias("labels")), counts
 
 
+def check_pairs(counts: DataFrame, by: str | None = None) -> DataFrame:
+    """(by, kept, left_out) of each batch of ``counts`` (by, outcome, n); fails, naming the batches, where a batch has rows but none is kept."""
+    keys = [by] if by else []
+    told = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("outcome") == "kept", F.col("n"))), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.when(F.col("outcome") != "kept", F.col("n"))), F.lit(0)).alias("left_out"))
+    empty = told.where("kept = 0 and left_out > 0").limit(10).collect()
+    if empty:
+        raise ValueError("every pair is left out" + (f" of batch {', '.join(str(r[by]) for r in empty)}" if by else ""))
+    return told
+
+
+def steps_per_block(length: Column, block: Column, steps: Column) -> Column:
+    """As ``check_steps``, of columns: null where no block fits or steps don't divide."""
+    blocks = F.floor(length / block)
+    return F.when((blocks > 0) & (steps % blocks == 0), F.floor(steps / blocks)).cast("int")
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """Each left row with the last ``value`` of its group at or before its time: both sides in one ordered stream per group."""
-    both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side")).unionByName(right.select(by, at, F.col(value).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True)
-    upto = Window.partitionBy(by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("as_of", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1").drop("_v", "_side")
+    """Each left row with the last ``value`` of its group at or before its time.
+
+    Both sides are one stream, cut into stored ranges of (group, time). Inside a range a window carries the last value on; where a
+    range begins without one, the last value of the ranges before it is taken, so a group of many rows isn't one task's work.
+    """
+    kind = right.schema[value].dataType
+    told = F.struct(F.lit(1).alias("seen"), F.col(value).cast(kind).alias("v"))
+    both = left.select("*", F.lit(None).cast(f"struct<seen:int,v:{kind.simpleString()}>").alias("_v"), F.lit(1).alias("_side")).unionByName(right.where(F.col(value).isNotNull()).select(by, at, told.alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True)
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(both.repartitionByRange(width, by, at, "_side").withColumn("_part", F.spark_partition_id()))
+    ends = dealt.groupBy(F.col(by).alias("_g"), F.col("_part").alias("_p")).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(at))).alias("_end"))
+    carried = ends.select("_g", "_p", F.last("_end", ignorenulls=True).over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    upto = Window.partitionBy(by, "_part").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.withColumn("_in", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1")
+    met = inside.join(carried, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")), "left")
+    return met.select(*left.columns, F.coalesce("_in", "_carry")["v"].alias("as_of"))
 
 
 def coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,38 @@ def moving_mean(rows: DataFrame, task: str, order: list[str], x: str, alpha: flo
     return placed.join(sizes, F.col(task).eqNullSafe(F.col("_task"))).groupBy(task).agg(F.first("n").alias("n"), F.sum(value).alias("ema"))
 
 
+def running_mean(rows: DataFrame, task: str, order: list[str], x: str, alpha: float) -> DataFrame:
+    """``rows`` with ``ema``: the moving mean of their task after each of them, in order; the first value starts it.
+
+    A range of a task is folded from zero where it lies, a row at a time; what the ranges before it bring is a fold over their ends,
+    of which a task has no more than there are shuffle partitions. So the longest chain is a range, not a task. Values must not be null.
+    """
+    placed = stored(ranks.numbered(rows, [task], [F.col(c) for c in order], place="_place", ranges=True))
+    names = placed.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
+
+    def fold(batches):
+        key, value = None, 0.0
+        for b in batches:
+            out = []
+            for t, part, place, v in zip(*(b.column(c).to_pylist() for c in (task, "_part", "_place", x)), strict=True):
+                if (t, part) != key:
+                    key, value = (t, part), 0.0
+                value = v if place == 1 else alpha * value + (1 - alpha) * v
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*names, "_local"])
+
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = placed.repartition(width, task, "_part").sortWithinPartitions(task, "_part", "_place")
+    local = stored(whole.mapInArrow(fold, f"{kinds}, _local double"))
+    ends = local.groupBy(F.col(task).alias("_t"), F.col("_part").alias("_p")).agg(F.count("*").alias("n"), F.max_by("_local", "_place").alias("end"))
+    earlier = Window.partitionBy("_t").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    told = F.array_sort(F.collect_list(F.struct("_p", "n", "end")).over(earlier))
+    carried = ends.select("_t", "_p", F.aggregate(told, F.lit(0.0), lambda a, p: F.pow(F.lit(alpha), p["n"]) * a + p["end"]).alias("_carry"))
+    met = local.join(carried, F.col(task).eqNullSafe(F.col("_t")) & (F.col("_part") == F.col("_p")))
+    return met.select(*rows.columns, (F.col("_local") + F.pow(F.lit(alpha), F.col("_place") - F.col("_before")) * F.col("_carry")).alias("ema"))
+
+
 def flushed_means(rows: DataFrame, by: list[str], step: Column, every: int, x: str) -> DataFrame:
     """Means per tumbling window of steps; the last window may be short."""
     return rows.groupBy(*by, F.floor(step / every).cast("long").alias("flush")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"))

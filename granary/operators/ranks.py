@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from granary.sources.shared import stored
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column] | None = None, place: str = "place") -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column] | None = None, place: str = "place", ranges: bool = False) -> DataFrame:
     """``rows`` with ``place`` (from 1) in its group and running ``sums`` up to and with the row.
 
     Rows are cut into ranges of (group, order), stored, since ranges are drawn anew by every job; inside a range rows are counted by
     a window, and what comes before is told by the ranges of the group, of which there are no more than shuffle partitions. A group of
-    many rows is many ranges. Rows of equal order get some order of their own; null groups are groups.
+    many rows is many ranges. Rows of equal order get some order of their own; null groups are groups. With ``ranges`` each row's range
+    and the places before it come along as ``_part`` and ``_before``.
     """
     sums = sums or {}
     spark = rows.sparkSession
@@ -31,4 +32,4 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str
     same = F.col("_part") == F.col("_of")
     for k, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{k}"))
-    return told.join(before, same).select(*rows.columns, (F.col("_place") + F.col("_before")).alias(place), *[(F.col(f"_sum_{c}") + F.col(f"_before_{c}")).alias(c) for c in sums])
+    return told.join(before, same).select(*rows.columns, *["_part", "_before"] * ranges, (F.col("_place") + F.col("_before")).alias(place), *[(F.col(f"_sum_{c}") + F.col(f"_before_{c}")).alias(c) for c in sums])

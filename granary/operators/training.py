@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators import history
+
 
 def collate(prompt: Column, answer: Column, eos: int, pad: int, width: int) -> Column:
     """Prompt + answer + eos cut and right-padded to ``width``, with labels of -100 off the answer."""
@@ -83,10 +85,6 @@ def message_pass(edges: DataFrame, nodes: DataFrame, self_loops: bool = True, me
     return met.groupBy(F.col("dst").alias("node")).agg((F.avg if mean else F.sum)("value").alias("value"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 
 
 def masked_metrics(rows: DataFrame, row: str, nll: Column, p: Column, length: Column, right: Column, end: Column) -> DataFrame:
@@ -102,6 +100,21 @@ def masked_metrics(rows: DataFrame, row: str, nll: Column, p: Column, length: Co
     )
 
 
+def anchored_preferences(rows: DataFrame, task: str, batch: str, order: str, columns: tuple[str, str, str, str], beta: float = 0.1, scale: float = 0.5, alpha: float = 0.99, clip: float | None = None, rejected: float = 1.5, hinge: bool = False) -> DataFrame:
+    """``rows`` with ``average``, the task's moving mean of chosen rewards after their batch, what ``preference_rows`` tells with it, and the
+    ``anchor`` loss that holds the rejected answer below ``rejected`` times that mean. ``columns`` are the bounds of the chosen under model and
+    reference and of the rejected under both. ``hinge`` replaces the logistic loss by max(0, 1 - (margin - gamma))."""
+    theta_w, ref_w, theta_l, ref_l = map(F.col, columns)
+    rewarded = rows.withColumn("_r", (beta * (theta_w - ref_w)).cast("double"))
+    running = history.running_mean(rewarded, task, [batch, order], "_r", alpha)
+    last = running.groupBy(F.col(task).alias("_t"), F.col(batch).alias("_b")).agg(F.max_by("ema", order).alias("average"))
+    met = running.drop("ema").join(last, F.col(task).eqNullSafe(F.col("_t")) & F.col(batch).eqNullSafe(F.col("_b")))
+    told = met.withColumn("_p", preference_rows(theta_w, ref_w, theta_l, ref_l, F.col("average"), beta, scale, clip))
+    gap = F.col("_p.margin") - F.col("_p.gamma")
+    loss = F.greatest(F.lit(0.0), 1 - gap) if hinge else F.col("_p.loss")
+    return told.select(*rows.columns, "average", "_p.r_w", "_p.r_l", "_p.margin", "_p.gamma", loss.alias("loss"), softplus(F.col("_p.r_l") - rejected * F.col("average")).alias("anchor"), "_p.right")
+
+
 def preference_rows(theta_w: Column, ref_w: Column, theta_l: Column, ref_l: Column, average: Column, beta: float = 0.1, scale: float = 0.5, clip: float | None = None) -> Column:
     """(r_w, r_l, margin, gamma, loss, right): rewards against the reference, the margin clipped to ``clip`` times the chosen reward,
     a margin wanted of ``scale`` times the task's average reward, the logistic loss, and whether the chosen answer wins."""

@@ -32,7 +32,7 @@ def _partials(s, d):
 def _pairs(s, d):
     arr = lambda x, n: F.transform(F.sequence(F.lit(1), n), lambda i: (i * x).cast("int"))
     k = F.col("l_linenumber")
-    return load(s, "lineitem", d).where("l_quantity > 0").select("l_orderkey", "l_linenumber", arr(F.lit(3), k).alias("p"), F.when(k != 3, arr(F.lit(5), F.lit(2))).alias("c"), F.when(k == 4, F.array().cast("array<int>")).otherwise(arr(F.lit(7), k)).alias("r"))
+    return load(s, "lineitem", d).where("l_quantity > 0").select("l_orderkey", "l_linenumber", "l_suppkey", arr(F.lit(3), k).alias("p"), F.when(k != 3, arr(F.lit(5), F.lit(2))).alias("c"), F.when(k == 4, F.array().cast("array<int>")).otherwise(arr(F.lit(7), k)).alias("r"))
 
 
 def _slots(s, d, part):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granary.plans import audit_queries, augment_queries, build_queries, data_queries, evaluation_queries, graph_queries, metric_queries, rowmap_queries, store_queries, stream_queries, text_queries, training_queries
+from granary.plans import audit_queries, augment_queries, build_queries, data_queries, evaluation_queries, graph_queries, metric_queries, report_queries, rowmap_queries, store_queries, stream_queries, text_queries, training_queries
 
-MODULES = (data_queries, rowmap_queries, evaluation_queries, graph_queries, augment_queries, text_queries, metric_queries, audit_queries, training_queries, stream_queries, store_queries, build_queries)
+MODULES = (data_queries, rowmap_queries, evaluation_queries, graph_queries, augment_queries, text_queries, metric_queries, audit_queries, training_queries, stream_queries, store_queries, build_queries, report_queries)
 
 
 def queries() -> dict:

@@ -100,10 +100,9 @@ def _vocabulary(s, d):
 
 def _predictions(s, d):
     at = scratch(s)
-    rows = load(s, "events", d).select(F.when(F.col("event_id") % 2 == 0, "classification").otherwise("generation").alias("part"), F.struct(F.col("event_id").alias("val_idx"), F.col("event_type").alias("task")).alias("r"))
-    told = rows.groupBy().agg(F.lit(2.0).alias("epoch"), F.lit(7).cast("long").alias("global_step"), *[F.collect_list(F.when(F.col("part") == p, F.col("r"))).alias(p) for p in ("classification", "generation")])
-    told.coalesce(1).write.json(at)
-    return tables.predictions(s, at, "val_idx: bigint, task: string").groupBy("part", "task", "epoch", "global_step").agg(F.count("*").alias("n"), F.sum("val_idx").alias("ids"))
+    rows = load(s, "events", d).select(F.when(F.col("event_id") % 2 == 0, "classification").otherwise("generation").alias("part"), F.col("event_id").alias("val_idx"), F.col("event_type").alias("task"))
+    sinks.write_predictions(rows, at, 2.0, 7)
+    return tables.prediction_parts(s, at, "val_idx long, task string").groupBy("part", "task", "epoch", "global_step").agg(F.count("*").alias("n"), F.sum("val_idx").alias("ids"))
 
 
 def _report(s, d):

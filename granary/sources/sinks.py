@@ -69,7 +69,7 @@ def write_csv(df: DataFrame, path: str, *needed: str) -> None:
 
 
 def write_predictions(df: DataFrame, path: str, epoch: float, step: int) -> None:
-    """One JSON row a group ``part`` with its records, beside epoch and step; parts are folders."""
+    """JSON lines with epoch and step, a folder for each ``part``: every task writes its own files."""
     df.withColumns({"epoch": F.lit(float(epoch)), "global_step": F.lit(step)}).write.mode("overwrite").partitionBy("part").json(path)
 
 

@@ -24,6 +24,24 @@ def load(spark: SparkSession, name: str, root: str) -> DataFrame:
     return READERS[name](spark, root) if name in READERS else spark.read.parquet(f"{root}/{name}.parquet")
 
 
+#: Task name -> the source that its rows come from and what to do with them; ``route`` adds to it.
+TASKS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {}
+
+
+def route(task: str, source: str, rows: Callable[[DataFrame], DataFrame]) -> None:
+    TASKS[task] = (source, rows)
+
+
+def load_tasks(spark: SparkSession, root: str, tasks: Iterable[str]) -> DataFrame:
+    """The rows of all ``tasks`` with their ``task``, each from its own source; an unknown task fails before anything is read."""
+    tasks = list(tasks)
+    unknown = sorted(set(tasks) - set(TASKS))
+    if unknown:
+        raise ValueError(f"unknown tasks: {', '.join(unknown)}")
+    parts = [TASKS[t][1](load(spark, TASKS[t][0], root)).withColumn("task", F.lit(t)) for t in tasks]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def load_or_csv(spark: SparkSession, path: str, csv_path: str, schema: str) -> DataFrame:
     """Parquet, or a CSV copy with a header where it can't be read."""
     try:
@@ -92,6 +110,11 @@ def predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("epoch", "global_step", "part", "r.*")
 
 
+def prediction_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``sinks.write_predictions`` wrote: JSON lines in a folder for each part, read by as many tasks as there are files."""
+    return spark.read.schema(f"epoch double, global_step long, {schema}, part string").option("basePath", path).json(path)
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
