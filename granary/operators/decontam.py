@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.sources.shared import stored
+
 
 def eval_keys(rows: DataFrame, group: str, include_validation: bool = True) -> DataFrame:
     """(group, key): distinct known keys of the evaluation splits."""
@@ -45,3 +47,25 @@ def before_after(rows: DataFrame, gone: Column) -> DataFrame:
     counts = rows.groupBy("task", "split").agg(F.count("*").alias("before"), F.count_if(~gone).alias("after"))
     total = counts.agg(F.lit("TOTAL").alias("task"), F.lit("all").alias("split"), F.sum("before").alias("before"), F.sum("after").alias("after"))
     return counts.unionByName(total).withColumn("removed", F.col("before") - F.col("after"))
+
+
+def _windows(words: Column, size: Column) -> Column:
+    """Two independent hashes of every distinct run of ``size`` words."""
+    n = F.size(words) - size + 1
+    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    said = lambda i: F.array_join(F.slice(words, i, size), " ")
+    return F.array_distinct(F.transform(F.transform(starts, said), lambda g: F.struct(F.xxhash64(F.lit(1), g).alias("h1"), F.xxhash64(F.lit(2), g).alias("h2"))))
+
+
+def containment(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
+    """(item_id, n_docs): of (id, text) documents, how many hold any ``n`` words in a row of an item, or the whole of a shorter one; words are split by one space.
+
+    Runs are 128-bit hashes. Those of the items are stored first: while their table is small by its size on disk, Spark sends it to the
+    documents and no window of a document is shuffled; beyond that both sides are dealt by their hash.
+    """
+    asked = items.select("item_id", F.split("text", " ").alias("w")).withColumn("k", F.least(F.size("w"), F.lit(n)))
+    asked = stored(asked.select("item_id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g")).select("item_id", "k", "g.h1", "g.h2"))
+    sizes = F.broadcast(asked.select("k").distinct())  # n rows at most
+    sized = docs.select("id", F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).join(sizes, "k")
+    held = sized.select("id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g")).select("id", "k", "g.h1", "g.h2")
+    return held.join(asked, ["k", "h1", "h2"]).select("item_id", "id").distinct().groupBy("item_id").agg(F.count("*").alias("n_docs"))

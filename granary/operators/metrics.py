@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.ranks import numbered
 from granary.operators.texts import text_scores
+from granary.sources.shared import stored
 
 NAN = float("nan")
 
@@ -69,10 +71,24 @@ def preference(rows: DataFrame, task: str, chosen: Column, rejected: Column) ->
 
 
 def summary(rows: DataFrame, by: list[str], x: str) -> DataFrame:
-    """n, mean, population std, min, quartiles by linear interpolation, p90 and max."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    out = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
-    return out.select(*by, "n", "mean", "std", "min", *[F.col("q")[i].alias(c) for i, c in enumerate(("p25", "median", "p75", "p90"))], "max")
+    """n, mean, population std, min, quartiles by linear interpolation, p90 and max; nulls count nothing.
+
+    Quantiles are read off the places of the ordered rows, which are counted over ranges, so no task holds the values of a group.
+    """
+    known = stored(rows.select(*by, F.col(x).cast("double").alias("_x")).where("_x is not null"))
+    told = known.groupBy(*by).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    sizes = told.select(*[F.col(c).alias(f"_of_{k}") for k, c in enumerate(by)], F.col("n").alias("_n"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{k}"))
+    quantiles = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    below = {q: F.floor((F.col("_n") - 1) * share) + 1 for q, share in quantiles.items()}
+    over = {q: (F.col("_n") - 1) * share - F.floor((F.col("_n") - 1) * share) for q, share in quantiles.items()}
+    placed = numbered(known, by, [F.col("_x")], place="_k").join(F.broadcast(sizes) if not by else sizes, same)
+    near = placed.where(F.greatest(*[F.col("_k").isin(below[q], below[q] + 1).cast("int") for q in quantiles]) == 1)
+    part = lambda q: F.when(F.col("_k") == below[q], F.col("_x") * (1 - over[q])).when((F.col("_k") == below[q] + 1) & (over[q] > 0), F.col("_x") * over[q])
+    found = near.groupBy(*[F.col(c).alias(f"_of_{k}") for k, c in enumerate(by)]).agg(*[F.sum(part(q)).alias(q) for q in quantiles])
+    return told.join(found, same).select(*by, "n", "mean", "std", "min", "p25", "median", "p75", "p90", "max")
 
 
 def histogram(rows: DataFrame, x: Column, edges: list[float]) -> DataFrame:

@@ -8,6 +8,7 @@ from granary.functions.taxonomy import task_dimension, task_kind
 from granary.functions.text import component_key
 from granary.operators import decontam, history, sampling
 from granary.plans.common import TASK_ROWS, Query, task_rows
+from granary.sources.shared import stored
 from granary.sources.tables import folder_names, load, metadata_split, require, toy_sample
 
 FAMILY = {"en": "north", "de": "north", "fr": "south", "es": "south"}
@@ -19,7 +20,7 @@ def _family(task):
 
 
 def _leaked(spark, sf):
-    return decontam.flag_leakage(task_rows(spark, sf), "task")
+    return decontam.flag_leakage(_rows(spark, sf), "task")
 
 
 def _flagged(spark, sf):
@@ -41,21 +42,14 @@ def _require(spark, sf):
     return found.where(F.col("name").isin(WANTED))
 
 
-def _windows(text, sizes):
-    """Every distinct run of k words, for the k of each row."""
-    n = F.size(text) - sizes + 1
-    return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(text, i, sizes), " ")))
+def _contained(spark, sf):
+    items, docs = load(spark, "benchmark", sf), load(spark, "documents", sf)
+    return decontam.containment(docs.select(F.col("doc_id").alias("id"), "text"), items.select("item_id", "text")).select("item_id", "n_docs")
 
 
-def _contained(spark, sf):
-    """(item_id, n_docs): documents that hold any 8 words in a row of an item, or the whole of a shorter one."""
-    items = load(spark, "benchmark", sf).select("item_id", F.split("text", " ").alias("w"))
-    items = items.select("item_id", "w", F.least(F.size("w"), F.lit(8)).alias("k"))
-    asked = items.select("item_id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g"))
-    sizes = F.broadcast(items.select("k").distinct())  # eight rows at most
-    docs = load(spark, "documents", sf).select("doc_id", F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).join(sizes, "k")
-    held = docs.select("doc_id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g"))
-    return held.join(asked, ["k", "g"]).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+def _rows(spark, sf):
+    """Task rows without their texts, which are read and hashed once."""
+    return stored(task_rows(spark, sf).drop("text"))
 
 
 WANTED = ["documents", "events", "labels"]
@@ -96,7 +90,7 @@ QUERIES: dict[str, Query] = {
         f"WITH {LEAKED} SELECT task, count(*) AS n_keys FROM eval_keys GROUP BY task",
     ),
     "decontam_left_anti": (
-        lambda s, d: decontam.remove_leakage(task_rows(s, d), "task").select("doc_id", "task"),
+        lambda s, d: decontam.remove_leakage(_rows(s, d), "task").select("doc_id", "task"),
         f"WITH {LEAKED} SELECT doc_id, task FROM leaked WHERE split = 'train' AND NOT leaked",
     ),
     "decontam_before_after": (

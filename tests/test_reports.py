@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import checks
-from granary.operators import evaluation, history, reports, training
+from granary.operators import decontam, evaluation, history, metrics, reports, training
 from granary.sources import tables
 
 
@@ -81,3 +81,22 @@ def test_slices_and_lengths(spark):
     kept, told = reports.within(df, F.col("x"), 3)
     assert kept.count() == 2 and told.first() == (4, 2, 50.0)
     assert reports.toy_splits(df, "b", "t", None) is df and reports.toy_splits(df, "b", "t", 1).count() == 2
+
+
+def test_summary_is_numpys(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, None])) for _ in range(3000)] + [("one", 7.0), ("none", None)] + [("same", 2.0)] * 500
+    got = {r.g: r for r in metrics.summary(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x").collect()}
+    assert set(got) == {"a", "b", "one", "same"}
+    for g, r in got.items():
+        x = np.array([v for k, v in rows if k == g and v is not None])
+        assert r.n == len(x) and [r["mean"], r["std"], r["min"], r["max"]] == pytest.approx([x.mean(), x.std(), x.min(), x.max()])
+        assert [r.p25, r["median"], r.p75, r.p90] == pytest.approx(np.percentile(x, [25, 50, 75, 90]).tolist())
+
+
+def test_containment(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "x b c d e f g h i y"), (3, "p q"), (4, None), (5, "q p q p q"), (1, "a b c d e f g h i")], "id int, text string")
+    items = spark.createDataFrame([(10, "b c d e f g h i z"), (11, "p q"), (12, "nothing like it"), (13, None)], "item_id int, text string")
+    assert {r.item_id: r.n_docs for r in decontam.containment(docs, items).collect()} == {10: 2, 11: 2}
