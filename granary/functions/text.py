@@ -136,3 +136,10 @@ def truth_string(x: Column) -> Column:
 
 def finite(x: Column) -> Column:
     return F.when(F.abs(x) == float("inf"), float("nan")).otherwise(x)
+
+
+def key_values(s: Column) -> Column:
+    """``a=1,b=2`` as a map; a part without a sign has a null value, and of a repeated key the last counts."""
+    pairs = F.transform(F.filter(F.split(s, ","), lambda p: p != ""), lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.when(p.contains("="), F.trim(F.regexp_replace(p, "^[^=]*=", ""))).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)

@@ -52,5 +52,6 @@ def dense_batch(nodes: DataFrame, graph: str, order: str, value: str, pad: Colum
     return sized.select(graph, F.concat("values", F.array_repeat(pad, fill)).alias("values"), F.concat(F.transform("values", lambda _: F.lit(True)), F.array_repeat(F.lit(False), fill)).alias("mask"))
 
 
-def mean_pool(nodes: DataFrame, graph: str, value: str) -> DataFrame:
-    return nodes.groupBy(graph).agg(F.avg(value).alias("pooled"))
+def mean_pool(nodes: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, pooled): means over the nodes of each graph, or of each component of a graph's vectors."""
+    return nodes.groupBy(*by).agg(F.avg(value).alias("pooled"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.ranks import numbered
+
 
 def hashed(seed: int, *cols: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]).cast("binary"))
@@ -59,12 +61,19 @@ def paired(df: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
     return _back(dealt, told, group).withColumn("partner", F.coalesce(after, "_next")).where(F.col("partner") != F.col(key)).select(group, key, "partner")
 
 
-def round_robin(total: int, world: int, batch: int, spark) -> DataFrame:
-    """(idx, missed): which of ``total`` samples a padded, sharded, drop-last loader never yields."""
+def sharded(rows: DataFrame, order: str, world: int, batch: int) -> DataFrame:
+    """``rows`` with ``rank``, ``turn`` and ``missed``: dealt in turn to ``world`` readers that pad to equal shares and leave out what doesn't fill a batch.
+
+    The first rows fill up the last turn again, so a row is missed only if none of its places is in a whole batch. Places come from
+    ``ranks.numbered``, so the table is never sorted in one task.
+    """
+    placed = numbered(rows, [], [F.col(order)], place="_place").withColumn("_place", F.col("_place") - 1)
+    total = rows.count()
     per = -(-total // world)
     whole = per // batch * batch
-    seen = spark.range(per * world).select((F.col("id") % total).alias("idx"), F.floor(F.col("id") / world).alias("turn")).where(F.col("turn") < whole).groupBy("idx").agg(F.count("*").alias("n"))
-    return spark.range(total).select(F.col("id").alias("idx")).join(seen, "idx", "left").select("idx", F.col("n").isNull().alias("missed"))
+    turn = F.floor(F.col("_place") / world)
+    padded = (F.col("_place") + total < per * world) & (F.floor((F.col("_place") + total) / world) < whole)
+    return placed.select(*rows.columns, (F.col("_place") % world).cast("int").alias("rank"), turn.alias("turn"), (~((turn < whole) | padded)).alias("missed"))
 
 
 def split_off(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:

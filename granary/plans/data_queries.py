@@ -8,6 +8,7 @@ from granary.functions.taxonomy import task_dimension, task_kind
 from granary.functions.text import component_key
 from granary.operators import decontam, history, sampling
 from granary.plans.common import TASK_ROWS, Query, task_rows
+from granary.plans.evaluation_queries import _generated
 from granary.sources.shared import stored
 from granary.sources.tables import folder_names, load, metadata_split, require, toy_sample
 
@@ -82,8 +83,8 @@ QUERIES: dict[str, Query] = {
     ),
     "scan_existence_contract": (_require, "SELECT * FROM (VALUES ('documents'), ('events'), ('labels')) t(name)"),
     "task_taxonomy": (
-        lambda s, d: task_dimension(s).withColumn("again", task_kind(F.col("task"))).groupBy("kind", "again").agg(F.count("*").alias("n")),
-        "SELECT * FROM (VALUES ('classification', 'classification', CAST(7 AS BIGINT)), ('regression', 'regression', 18), ('molecule', 'molecule', 13), ('caption', 'caption', 2), ('name_conversion', 'name_conversion', 4)) t(kind, again, n)",
+        lambda s, d: _generated(s, d).withColumn("again", task_kind(F.col("task"))).join(task_dimension(s), "task").groupBy("kind", "again").agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks")),
+        "SELECT k AS kind, k AS again, count(*) AS n, CAST(1 AS BIGINT) AS tasks FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'classification' WHEN 1 THEN 'regression' WHEN 2 THEN 'molecule' ELSE 'caption' END AS k FROM part) GROUP BY k",
     ),
     "decontam_eval_keys": (
         lambda s, d: decontam.eval_keys(task_rows(s, d), "task").groupBy("task").agg(F.count("*").alias("n_keys")),
@@ -154,9 +155,9 @@ QUERIES: dict[str, Query] = {
         WINDOW w AS (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id)) WHERE partner <> doc_id""",
     ),
     "shard_drop_sim": (
-        lambda s, d: sampling.round_robin(1003, 6, 4, s).groupBy("missed").agg(F.count("*").alias("n"), F.min("idx").alias("first")),
-        """WITH seen AS (SELECT DISTINCT i % 1003 AS idx FROM range(168 * 6) t(i) WHERE i // 6 < 168)
-        SELECT idx NOT IN (SELECT idx FROM seen) AS missed, count(*) AS n, min(idx) AS first FROM range(1003) t(idx) GROUP BY 1""",
+        lambda s, d: sampling.sharded(load(s, "events", d).select("event_id"), "event_id", 6, 64).groupBy("rank", "missed").agg(F.count("*").alias("n"), F.min("event_id").alias("first")),
+        """WITH p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS t FROM events), q AS (SELECT *, (t + 5) // 6 AS per, (t + 5) // 6 // 64 * 64 AS whole FROM p)
+        SELECT CAST(i % 6 AS INTEGER) AS rank, NOT (i // 6 < whole OR (i + t < per * 6 AND (i + t) // 6 < whole)) AS missed, count(*) AS n, min(event_id) AS first FROM q GROUP BY ALL""",
     ),
     "outer_before_after": (
         lambda s, d: history.outer_counts(load(s, "customer", d).groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n")), load(s, "supplier", d).groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n")), "k"),

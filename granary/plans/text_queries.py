@@ -108,7 +108,7 @@ QUERIES: dict[str, Query] = {
         "SELECT n_name, round(avg(levenshtein(c_mktsegment, n_name)), 6) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     ),
     "parse_key_values": (
-        lambda s, d: _orders(s, d).select("o_orderkey", F.str_to_map(F.concat(F.lit("a="), F.col("o_orderstatus"), F.lit(",b="), F.col("o_custkey").cast("string")), F.lit(","), F.lit("=")).alias("m")).select("o_orderkey", F.col("m")["b"].try_cast("long").alias("b")),
+        lambda s, d: _orders(s, d).select("o_orderkey", T.key_values(F.concat(F.lit("b=x,a="), F.col("o_orderstatus"), F.lit(",b="), F.col("o_custkey").cast("string"))).alias("m")).select("o_orderkey", F.col("m")["b"].try_cast("long").alias("b")),
         "SELECT o_orderkey, o_custkey AS b FROM orders",
     ),
     "parse_url": (

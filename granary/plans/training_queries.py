@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import training
+from granary.operators import graphs, training
 from granary.plans.common import Query
 from granary.sources.tables import load
 
@@ -91,7 +91,7 @@ QUERIES: dict[str, Query] = {
         SELECT dst AS node, sum(p_size::DOUBLE) AS value FROM e JOIN part ON src = p_partkey GROUP BY dst""",
     ),
     "mean_pool": (
-        lambda s, d: load(s, "embeddings", d).select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.round(F.avg("x"), 5).alias("mean")),
+        lambda s, d: graphs.mean_pool(load(s, "embeddings", d).select("label", F.posexplode("embedding").alias("k", "x")), ["label", "k"], "x").select("label", "k", F.round("pooled", 5).alias("mean")),
         "SELECT label, k, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, CAST(unnest(range(len(embedding))) AS INTEGER) AS k, unnest(embedding) AS x FROM embeddings) GROUP BY label, k",
     ),
     "variant_rotation": (

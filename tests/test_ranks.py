@@ -51,3 +51,20 @@ def test_split_keeps_every_row_once(spark):
     hot = spark.createDataFrame([(1, k) for k in range(1000)], "k int, x int")
     assert sorted(r["count"] for r in sampling.split_off(hot, 0.25, "k").groupBy("split").count().collect()) == [250, 750]
     assert sampling.split_off(hot.where("x < 0"), 0.25, "k").collect() == []
+
+
+@pytest.mark.parametrize(("total", "world", "batch"), [(103, 6, 4), (24, 6, 4), (5, 6, 1), (1, 3, 2), (1003, 6, 4), (95, 6, 8)])
+def test_shards_are_a_loaders(spark, total, world, batch):
+    per = -(-total // world)
+    seen = {(turn * world + rank) % total for rank in range(world) for turn in range(per // batch * batch)}
+    got = sampling.sharded(spark.range(total).repartition(3), "id", world, batch).collect()
+    assert sorted(r.id for r in got) == list(range(total))
+    assert {r.id for r in got if not r.missed} == seen and all(r["rank"] == r.id % world for r in got)
+
+
+def test_key_values(spark):
+    from granary.functions.text import key_values
+
+    rows = ["a=1,b=2", "a=1,a=3", "x", "a= b = c ,d=", "", None]
+    got = [r.m for r in spark.createDataFrame([(k, s) for k, s in enumerate(rows)], "k int, s string").select("k", key_values(F.col("s")).alias("m")).orderBy("k").collect()]
+    assert got == [{"a": "1", "b": "2"}, {"a": "3"}, {"x": None}, {"a": "b = c", "d": ""}, {}, None]
