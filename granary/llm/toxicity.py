@@ -14,7 +14,8 @@ are the runs of tokens whose marginal is at least one half.
 Cases: null and empty texts have no tokens, no spans and the score of a text without evidence; labels of null or of
 documents that are not there are ignored; without labels of both kinds every score is 0, or without features the share of toxic
 labels. Repeated rows are scored alike; of rows that share a labelled id the least text is learnt. Ties between features go to
-the whole word, then to the longer prefix, then to the least hash. Very long texts are scored whole, and no text is held beyond its row; the driver holds the samples as numbers.
+the whole word, then to the longer prefix, then to the least hash. Very long texts are scored whole, one at a time. Only the fit
+has texts on the driver: those of at most ``max_toxic`` and ``max_clean`` labelled documents, whole, until the field is fitted.
 Other columns are not read by ``tag`` and pass through ``scored``, where only a column of the score's name is replaced.
 """
 
