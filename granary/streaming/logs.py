@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,19 @@ def windowed(stream: DataFrame, time: str, late: str, width: str, slide: str | N
 
 
 def moving_means(stream: DataFrame, task: str, order: str, x: str, alpha: float) -> DataFrame:
-    """(task, n, ema) updates: keyed state (n, ema), restored from the checkpoint; rows are folded in order within a batch."""
+    """(task, n, ema) updates: keyed state (n, ema), restored from the checkpoint; the values of a batch are one weighted sum in their order."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, ema = state.get if state.exists else (0, 0.0)
-        for value in pd.concat(list(batches)).sort_values("o")["x"]:
-            ema = value if n == 0 else alpha * ema + (1 - alpha) * value
-            n += 1
+        parts = [(b["o"].to_numpy(), b["x"].to_numpy(float)) for b in batches]
+        x = np.concatenate([p[1] for p in parts])[np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")]
+        if len(x):
+            weight = alpha ** np.arange(len(x) - 1, -1, -1.0)
+            share = np.full(len(x), 1 - alpha)
+            share[0] = 1.0 if n == 0 else share[0]
+            odd = ~np.isfinite(x)  # they stay, whatever their weight
+            ema = (alpha ** len(x) * ema if np.isfinite(ema) else ema) * (n > 0) + float((weight * share)[~odd] @ x[~odd]) + float(x[odd].sum())
+            n += len(x)
         state.update((n, float(ema)))
         yield pd.DataFrame({"task": [key[0]], "n": [n], "ema": [float(ema)]})
 
