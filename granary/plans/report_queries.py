@@ -56,7 +56,8 @@ def _shown(s, d):
 
 def _within(s, d):
     kept, told = reports.within(load(s, "documents", d), F.size(F.split("text", " ")), 100)
-    return told.select("n", "kept", F.round("percent", 6).alias("percent")).join(kept.agg(F.sum("doc_id").alias("ids")))
+    one = F.lit(1).alias("one")  # a row on both sides
+    return told.select(one, "n", "kept", F.round("percent", 6).alias("percent")).join(kept.agg(F.sum("doc_id").alias("ids")).select(one, "ids"), "one").drop("one")
 
 
 def _fallbacks(s, d):
