@@ -75,3 +75,21 @@ def test_late_rows_and_full_intervals(spark, tmp_path):
         put(tmp_path / "in", k, shuffled[10 * k : 10 * k + 10])
     # ten values make an interval: all are flushed by count, without an end of the epoch
     assert run(spark, tmp_path, 10, late=20, full=10) == wanted(rows, 10)
+
+
+def test_a_timer_reads_its_own_interval_alone():
+    from types import SimpleNamespace
+
+    from granary.streaming.flush import IntervalMeans
+
+    reads, held = [], {}
+    state = SimpleNamespace(containsKey=lambda k: k in held, getValue=lambda k: reads.append(k) or held[k], updateValue=held.__setitem__, removeKey=held.pop)
+    timers = []
+    means = IntervalMeans(10, None)
+    means.init(SimpleNamespace(getMapState=lambda *a: state, registerTimer=timers.append))
+    assert not list(means.handleInputRows(("a",), iter([SimpleNamespace(step=k, value=float(k)) for k in range(100)]), None))
+    assert timers == [10_000 * k for k in range(1, 11)]
+    for at in timers:
+        (r,) = means.handleExpiredTimer(("a",), None, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+        assert (r.n, r.mean) == (10, at / 1000 - 5.5)
+    assert len(reads) == 10 and not held
