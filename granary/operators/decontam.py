@@ -49,23 +49,29 @@ def before_after(rows: DataFrame, gone: Column) -> DataFrame:
     return counts.unionByName(total).withColumn("removed", F.col("before") - F.col("after"))
 
 
+def _hashed(text: str) -> Column:
+    """Two independent hashes of every word of a text; words are split by one space."""
+    return F.transform(F.split(text, " "), lambda w: F.struct(F.xxhash64(F.lit(1), w).alias("h1"), F.xxhash64(F.lit(2), w).alias("h2")))
+
+
 def _windows(words: Column, size: Column) -> Column:
-    """Two independent hashes of every distinct run of ``size`` words."""
+    """Two hashes of every run of ``size`` hashed words, repeats included: an array of structs finds its repeats only pair by pair."""
     n = F.size(words) - size + 1
     starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    said = lambda i: F.array_join(F.slice(words, i, size), " ")
-    return F.array_distinct(F.transform(F.transform(starts, said), lambda g: F.struct(F.xxhash64(F.lit(1), g).alias("h1"), F.xxhash64(F.lit(2), g).alias("h2"))))
+    runs = F.transform(starts, lambda i: F.slice(words, i, size))
+    return F.transform(runs, lambda g: F.struct(F.xxhash64(F.lit(1), g).alias("h1"), F.xxhash64(F.lit(2), g).alias("h2")))
 
 
 def containment(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     """(item_id, n_docs): of (id, text) documents, how many hold any ``n`` words in a row of an item, or the whole of a shorter one; words are split by one space.
 
-    Runs are 128-bit hashes. Those of the items are stored first: while their table is small by its size on disk, Spark sends it to the
-    documents and no window of a document is shuffled; beyond that both sides are dealt by their hash.
+    Runs are 128-bit hashes of the hashes of their words, so a word is hashed once for all its runs. Those of the items are stored first:
+    while their table is small by its size on disk, Spark sends it to the documents and no window of a document is shuffled; beyond that
+    both sides are dealt by their hash. A document meets only the sizes that items have, ``n`` at most.
     """
-    asked = items.select("item_id", F.split("text", " ").alias("w")).withColumn("k", F.least(F.size("w"), F.lit(n)))
-    asked = stored(asked.select("item_id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g")).select("item_id", "k", "g.h1", "g.h2"))
+    asked = items.select("item_id", _hashed("text").alias("w")).withColumn("k", F.least(F.size("w"), F.lit(n)))
+    asked = stored(asked.select("item_id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g")).select("item_id", "k", "g.h1", "g.h2").distinct())
     sizes = F.broadcast(asked.select("k").distinct())  # n rows at most
-    sized = docs.select("id", F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).join(sizes, "k")
+    sized = docs.select("id", _hashed("text").alias("w")).crossJoin(sizes)
     held = sized.select("id", "k", F.explode(_windows(F.col("w"), F.col("k"))).alias("g")).select("id", "k", "g.h1", "g.h2")
     return held.join(asked, ["k", "h1", "h2"]).select("item_id", "id").distinct().groupBy("item_id").agg(F.count("*").alias("n_docs"))

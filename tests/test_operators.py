@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -217,3 +218,14 @@ def test_samples_of_null_groups(spark):
     assert sampling.per_group(df, "g", F.lit(4), "k").groupBy("g").count().orderBy("g").collect()[0]["count"] == 4
     pairs = {(r.k, r.partner) for r in sampling.paired(df, "g", "k").collect()}
     assert len(pairs) == 9 and {a for a, _ in pairs} == {b for _, b in pairs} == set(range(9))
+
+
+def test_containment_of_long_texts(spark):
+    """Windows of a text are hashed one by one, not compared with each other: 150,000 words took minutes."""
+    words = [f"w{i}" for i in range(150_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a b c " * 3 + "w7"), (3, None), (4, ""), (4, "w7 w8"), (5, "x w5 w6 w7 w8 w9 w10 w11 w12")], "id long, text string")
+    items = spark.createDataFrame([(10, " ".join(words[140_000:140_020])), (11, "w7 w8"), (12, "no " * 9), (13, "y " + " ".join(words[5:13])), (14, "a b c a b c a b c"), (15, None)], "item_id long, text string")
+    start = time.monotonic()
+    got = {r.item_id: r.n_docs for r in decontam.containment(docs, items).collect()}
+    assert got == {10: 1, 11: 3, 13: 2, 14: 1}
+    assert time.monotonic() - start < 60
