@@ -5,9 +5,9 @@ is no main text (navigation, footers, adverts, comments, forms, ...), or open. A
 For the others, token strings of ``RUN`` tokens that occur on at least two distinct pages of the host (in open blocks or
 discarded parts) are repeats, and open blocks that these cover are boilerplate; the unique runs of blocks stay.
 
-Repeats are sought over the whole host, however many pages it has: each page's token strings are hashed with the host (64
-bits), and the least and greatest page of each hash are taken with map-side combine, so neither a host nor a string of all
-its pages is one task's work. ``repeated_tokens`` gives the same for pages in memory, by a suffix array.
+Repeats are sought over the whole host, however many pages it has: the suffixes of its pages' tokens are sorted over ranges by
+host, first ``RUN`` tokens and page, and equal neighbours of distinct pages are repeats. Runs that go on in the next range meet by
+their ends, so neither a host nor a string of all its pages is one task's work. ``repeated_tokens`` gives the same for pages in memory, by a suffix array.
 
 Cases: null html is empty and gives an empty text; malformed markup is read as far as it goes (unclosed tags end with
 their parents, a void or unknown end tag is skipped, a quote that nothing closes ends with its tag, CDATA that nothing closes with
@@ -22,11 +22,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import shuffle_width, stored
 from granary.llm.urls import host
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -45,6 +44,12 @@ JUNK_NAMES = {
     "disqus", "disclaimer", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion",
     "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
+#: Words that may stand beside those in a name; any other makes it another name (ad-free, header-image, no-ads).
+BESIDE = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "container", "content", "current", "desktop", "fixed", "form", "global", "group", "inner", "item", "items", "js", "left",
+    "link", "links", "list", "local", "main", "mobile", "outer", "overlay", "page", "panel", "policy", "post", "posts", "primary", "reader", "right", "row", "secondary", "section", "site", "slot", "space",
+    "sticky", "sub", "thread", "top", "unit", "user", "wrap", "wrapper", "zone", "",
+}
 MAIN_NAMES = {"articlebody"}
 #: An open element closes these when it opens.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,8 +67,8 @@ def _kind(tag: str, attributes: str) -> int:
     role = said.get("role", "").strip().lower()
     if role in JUNK_ROLES or "hidden" in said or said.get("aria-hidden", "").lower() == "true":
         return DROP
-    names = {w for k in ("class", "id") for w in re.split(r"[^a-z]+", said.get(k, "").lower())}
-    if names & JUNK_NAMES and tag not in ("html", "body", "main"):
+    names = [set(re.split(r"[^a-z]+", name)) for k in ("class", "id") for name in said.get(k, "").lower().split()]
+    if any(n & JUNK_NAMES and n <= JUNK_NAMES | BESIDE for n in names) and tag not in ("html", "body", "main"):
         return DROP
     if tag in ("article", "main") or role in MAIN_ROLES or "articlebody" in said.get("itemprop", "").lower():
         return KEEP
@@ -216,17 +221,9 @@ def main_texts(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
     return [text if mine else uncovered(rest, mask) for text, mine, rest, mask in zip(own, marked, others, masks, strict=True)]
 
 
-def string_hashes(tokens: list[str], host_: str, run: int = RUN) -> np.ndarray:
-    """A 64-bit hash, with the host, of each string of ``run`` tokens."""
-    n = len(tokens) - run + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    said = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in tokens), np.uint64, len(tokens))
-    out = np.full(n, xxhash.xxh64_intdigest(host_.encode("utf-8", "surrogatepass"), 43), np.uint64)
-    for k in range(run):
-        out = (out ^ said[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+def starts(tokens: list[str], run: int = RUN) -> list[str]:
+    """The first ``run`` tokens of each suffix that has as many; tokens hold no space."""
+    return [" ".join(tokens[k : k + run]) for k in range(len(tokens) - run + 1)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
@@ -258,29 +255,51 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def words(found) -> list[str]:
         return [t for x in found for t in x["text"].split(" ")]
 
-    def strings(batches):
+    def suffixes(batches):
         for b in batches:
             for page, at, found, unmarked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                key = np.unique(string_hashes(words(found), at, run))
-                if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), page)), pa.array(np.full(len(key), unmarked))], ["key", "page", "open"])
+                if said := sorted(set(starts(words(found), run))):
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(said), pa.string()), pa.array(said, pa.string()), pa.array(np.full(len(said), page)), pa.array(np.full(len(said), unmarked))], ["host", "suffix", "page", "open"])
 
-    said = seen.join(hosts, "host", "left_semi").select("page", "host", "blocks", F.col("text").isNull().alias("open")).mapInArrow(strings, "key long, page long, open boolean")
+    def runs(batches):
+        """(host, suffix, least, most page) of the equal neighbours in the order; those of one page only at the ends of a partition, where the next one may go on."""
+        held, first = None, True
+        for b in batches:
+            out = []
+            for at, suffix, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and held[1] == suffix and held[0] == at:
+                    held[3] = page
+                    continue
+                if held and (first or held[2] < held[3]):
+                    out.append(held)
+                first = first and not held
+                held = [at, suffix, page, page]
+            yield batch(out)
+        yield batch([held] if held else [])
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "suffix", "least", "most"])
+
+    said = seen.join(hosts, "host", "left_semi").select("page", "host", "blocks", F.col("text").isNull().alias("open")).mapInArrow(suffixes, "host string, suffix string, page long, open boolean")
+    # the suffixes of a host in order, by their first tokens; pages are in the order too, so that a string of many pages is dealt over tasks
+    order = ["host", "suffix", "page"]
+    ordered = said.select(*order).repartitionByRange(shuffle_width(pages.sparkSession), *order).sortWithinPartitions(*order)
+    found = ordered.mapInArrow(runs, "host string, suffix string, least long, most long").groupBy("host", "suffix").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     # stored before the join, so that the rows of a string of many pages can be split over tasks
-    repeated = stored(said.groupBy("key").agg(F.min("page").alias("least"), F.max("page").alias("most")).where("least < most").select("key"), "repeated")
-    covered = said.where("open").join(repeated, "key").groupBy("page").agg(F.collect_list("key").alias("keys"))
+    repeated = stored(found.where("least < most").select("host", "suffix"), "repeated")
+    covered = said.where("open").join(repeated, ["host", "suffix"]).groupBy("page").agg(F.collect_list("suffix").alias("suffixes"))
 
     def settle(batches):
         for b in batches:
             texts = []
-            for at, found, keys in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                tokens = words(found)
-                starts = np.flatnonzero(np.isin(string_hashes(tokens, at, run), np.array(keys or [], np.int64)))
+            for found, known in zip(*(b.column(i).to_pylist() for i in (2, 3)), strict=True):
+                tokens, known = words(found), set(known or [])
+                at = np.array([k for k, s in enumerate(starts(tokens, run)) if s in known], np.int64)
                 edge = np.zeros(len(tokens) + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + run, -1)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + run, -1)
                 texts.append(uncovered([(x["kind"], x["text"]) for x in found], np.cumsum(edge)[:-1] > 0))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    ready = seen.where("text is null").join(covered, "page", "left").select("id", "url", "host", "blocks", "keys")
+    ready = seen.where("text is null").join(covered, "page", "left").select("id", "url", "blocks", "suffixes")
     return done.unionByName(ready.mapInArrow(settle, "id long, url string, text string"))

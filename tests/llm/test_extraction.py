@@ -77,3 +77,19 @@ def test_edges(spark):
     got = sorted((r.id or 0, r.text) for r in extraction.extract(df).collect())
     assert got == [(0, "deep"), (1, ""), (2, "q"), (2, "q")]
     assert extraction.extract(df.limit(0)).count() == 0
+
+
+def test_names_are_matched_whole():
+    """A junk word inside another name marks nothing (before: all three texts vanished)."""
+    assert text("<article><p>a <span class='ad-free'>b</span></p><p id='header-image'>c</p><p class='no-ads big'>d</p></article>") == "a b\nc\nd"
+    assert text("<article><p>a</p><div class='x ad-slot-2'>b</div><div id='reader-comments'>c</div><div class='share_buttons'>d</div></article>") == "a"
+
+
+def test_suffixes_are_ordered_over_ranges(spark):
+    """One notice on all pages of a host: its run goes over many ranges, and tokens are compared, not hashes."""
+    assert not hasattr(extraction, "string_hashes")
+    made = [(i, "http://a.net/", f"<p>{' '.join(f'w{i}x{k}' for k in range(9))}</p><p>one notice of exactly seven tokens here</p>") for i in range(300)]
+    got = {r.id: r.text for r in extraction.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"w{i}x{k}" for k in range(9)) for i in range(300)}
+    twice = "<p>" + "the same seven tokens on one page " * 2 + "</p>"
+    assert extraction.extract(spark.createDataFrame([(1, "http://b.net/", twice)], "page_id long, url string, html string")).first().text == ("the same seven tokens on one page " * 2).strip()
