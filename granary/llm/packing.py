@@ -30,29 +30,38 @@ from granary.llm.common import stored
 RANKED = 8192
 #: Ids of strings that aren't ordinary text: fixed values of the public vocabulary.
 SPECIAL = {"byte_bpe_50k": {"<|endoftext|>": 50256}}
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 100_000
+#: Words whose ids a worker remembers at most (some 200 bytes each); then it begins anew, with the words that come next.
+REMEMBERED = 200_000
+
+
+def tiktoken_encoding(vocabulary: str, pattern: str, ranks: dict[bytes, int]):
+    """text -> list of its ids, special strings read as ordinary text."""
+    import tiktoken
+
+    return tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @cache
 def encoder(vocabulary: str = "byte_bpe_50k"):
     """text -> its ids as little-endian 32-bit bytes, for a vocabulary of public_tokenizers; equal to ``tokenizers`` on its JSON file.
 
-    A word after one space is cut by the pattern alone, whatever stands around it, so its ids are remembered.
+    A word after one space is cut by the pattern alone, whatever stands around it, so its ids are remembered. The words of a text
+    that aren't known are encoded in one call: the first token of each, and no other, begins with a space.
     """
     import public_tokenizers
-    import tiktoken
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    plain = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain = tiktoken_encoding(vocabulary, public_tokenizers.PATTERN, ranks)
     known: dict[str, bytes] = {}
+    begins = np.zeros(max(ranks.values()) + 1, bool)
+    begins[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
 
     special = SPECIAL.get(vocabulary, {})
     marks = re.compile("|".join(map(re.escape, special))) if special else None
 
     def ids(text: str) -> bytes:
-        return np.array(plain(text), np.uint32).astype("<u4").tobytes()
+        return np.array(plain(text), "<u4").tobytes()
 
     def encode(text: str) -> bytes:
         out, at = [], 0
@@ -62,21 +71,24 @@ def encoder(vocabulary: str = "byte_bpe_50k"):
         return b"".join([*out, ordinary(text[at:])]) if at else ordinary(text)
 
     def ordinary(text: str) -> bytes:
-        parts = text.split(" ")
-        if len(parts) < 2:
+        first, *parts = text.split(" ")
+        if not parts:
             return ids(text) if text else b""
-        out = []
-        for part in parts:
-            found = known.get(part)
-            if found is None:
-                if not part or part[0].isspace() or part[-1].isspace():
-                    return ids(text)
-                found = ids(" " + part)
-                if len(known) < REMEMBERED:
-                    known[part] = found
-            out.append(found)
-        out[0] = ids(parts[0])
-        return b"".join(out)
+        if not first or first[-1].isspace():
+            return ids(text)
+        out = list(map(known.get, parts))
+        if None in out:
+            new = list(dict.fromkeys(part for part, found in zip(parts, out, strict=True) if found is None))
+            if any(not part or part[0].isspace() or part[-1].isspace() for part in new):
+                return ids(text)
+            data = ids(" " + " ".join(new))
+            starts = (4 * np.flatnonzero(begins[np.frombuffer(data, "<u4")])).tolist()
+            told = dict(zip(new, (data[i:j] for i, j in zip(starts, [*starts[1:], len(data)], strict=True)), strict=True))
+            if len(known) + len(told) > REMEMBERED:
+                known.clear()
+            known.update(told if len(told) <= REMEMBERED else {})
+            out = [told[part] if found is None else found for part, found in zip(parts, out, strict=True)]
+        return b"".join([ids(first), *out])
 
     return encode
 

@@ -28,6 +28,25 @@ def test_ids(reference, text):
     assert np.frombuffer(packing.encoder()(text), "<u4").tolist() == reference(text)
 
 
+def test_new_words_are_encoded_in_one_call(reference, monkeypatch):
+    """A text's unknown words take one call (before: one each), and words that were dropped from memory come out the same."""
+    rng = random.Random(3)
+    new = ["".join(rng.choice("abcdeé東'.1\n<|") for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    text = " ".join(["first", *(w for w in new if w == w.strip()), *(w for w in new[:50] if w == w.strip())])
+    calls = []
+    made = packing.tiktoken_encoding
+    monkeypatch.setattr(packing, "tiktoken_encoding", lambda *a: lambda t, f=made(*a): calls.append(t) or f(t))
+    for most in (packing.REMEMBERED, 30):
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        encode = packing.encoder.__wrapped__()
+        for k in range(3):
+            calls.clear()
+            said = " ".join(text.split(" ")[20 * k :])
+            assert np.frombuffer(encode(said), "<u4").tolist() == reference(said)
+            assert len(calls) <= 2
+    assert encode("a\n b") == np.array(reference("a\n b"), "<u4").tobytes()
+
+
 def check(rows, capacity=2048):
     for _, own in groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
         at = 0
